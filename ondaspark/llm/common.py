@@ -55,18 +55,19 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
 
 # --------------------------------------------------------------------------- bounded Bloom filter, built by Spark
 
-#: Hash functions of the filter.
-BLOOM_HASHES = 3
+#: Bits of the filter: 8 MB, whatever the rows.
+BLOOM_BITS = 26
 
 
-def bloom_filter(df: DataFrame, *keys: Column, bits: int = 25) -> bytes:
-    """2**bits bits (4 MB by default, whatever the rows): which 64-bit keys may occur in df.
+def bloom_filter(df: DataFrame, key: str, bits: int = BLOOM_BITS) -> bytes:
+    """Which well-mixed 64-bit keys may occur in df: two bits of 2**bits for each, taken from the key itself.
 
     Built with bitmap aggregates; at most 2**bits / 32768 rows of 4 KB reach
     the driver. A saturated filter lets more rows pass, never fewer, so it is
     only used where an exact join follows.
     """
-    spots = F.array(*[F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(1 << bits)) for i in range(BLOOM_HASHES)])
+    mask = (1 << bits) - 1
+    spots = F.array(F.col(key).bitwiseAND(mask), F.shiftrightunsigned(F.col(key), 34).bitwiseAND(mask))
     spot = df.select(F.explode(spots).alias("s"))
     # bitmap positions count from 0 within buckets that count from 1
     parts = spot.groupBy(F.bitmap_bucket_number(F.col("s") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("s") + 1)).alias("m"))
@@ -77,6 +78,16 @@ def bloom_filter(df: DataFrame, *keys: Column, bits: int = 25) -> bytes:
     return bytes(out)
 
 
+def in_bloom(keys: np.ndarray, bloom: bytes, bits: int = BLOOM_BITS) -> np.ndarray:
+    """Whether each key may be in the filter."""
+    k, seen = keys.astype(np.int64).view(np.uint64), np.frombuffer(bloom, np.uint8)
+    mask = np.uint64((1 << bits) - 1)
+    out = np.ones(len(k), bool)
+    for spot in (k & mask, (k >> np.uint64(34)) & mask):
+        out &= (seen[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 # --------------------------------------------------------------------------- Arrow batches
 
 
@@ -112,6 +123,8 @@ def chunks(col: pa.Array, budget: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 # --------------------------------------------------------------------------- hashes
 
 U = np.uint64
+# Hash arithmetic wraps modulo 2**64, also on scalars.
+np.seterr(over="ignore")
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
