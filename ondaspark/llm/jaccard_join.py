@@ -298,5 +298,19 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     return members.join(of_entity, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with one document of each class: that of the smallest doc_id (null ids last). Of rows that repeat doc_id and text one stays, too."""
+    name = "key"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    keyed = docs.withColumn(name, F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1).bitwiseOR(1 << 62)))
+    found = materialise(classes(keyed.select(F.col(name).alias("doc_id"), "text"), words, percent))
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = keyed.join(stay, name, "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([name, "text"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
