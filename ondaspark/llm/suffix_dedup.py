@@ -43,8 +43,8 @@ LENGTH = 100
 ANCHOR = 32
 #: Every window holds its anchor and CORE bytes more on one side of it.
 CORE = (LENGTH - ANCHOR) // 2
-#: Different spans of an anchor that are compared in one bucket.
-MAX_SPANS = 2000
+#: Different spans of an anchor that are compared in one bucket (a bucket of so many takes about 30 MB).
+MAX_SPANS = 20_000
 #: Strings that a bucket of the construction holds on average.
 BUCKET = 2000
 #: Bytes of text that are hashed at once.
