@@ -51,6 +51,8 @@ BUCKET = 2000
 PIECE = 1 << 20
 _POSITION_BITS = 28
 _NULL_DOC = -(1 << 63)
+#: In place of a span that its own row holds earlier; its anchor is then any number.
+REPEATED = -(1 << 63) + 1
 
 # place = checksum of the text (24 bits), start (32 bits), number of windows in the span (7 bits)
 _START_SHIFT, _TIE_SHIFT = 7, 39
@@ -111,6 +113,14 @@ def _ties(col: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(x.as_buffer()) & 0xFFFFFF for x in col], np.int64)
 
 
+def _again(row: np.ndarray, anchor: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Spans that the same row holds earlier. They are repeats already, so they needn't meet the others of their anchor."""
+    key = mix(mix(anchor.view(U) ^ mix(row.astype(U) + U(1))) ^ span.view(U))
+    again = np.ones(len(key), bool)
+    again[np.unique(key, return_index=True)[1]] = False
+    return again
+
+
 def _occurrences(strings_of: tuple | None = None):
     """Anchor occurrences of every text; or, given a filter, those spans it may hold, with their bytes."""
 
@@ -124,6 +134,9 @@ def _occurrences(strings_of: tuple | None = None):
                 columns = [signed(anchor), signed(span), doc[first + row], place]
                 names = ["anchor", "span", "doc", "place"]
                 if strings_of is None:
+                    again = _again(row, columns[0], columns[1])
+                    columns[0] = np.where(again, signed(mix((place ^ columns[2]).view(U))), columns[0])
+                    columns[1] = np.where(again, REPEATED, columns[1])
                     for i in range(0, len(place), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=names)
                 else:
@@ -274,7 +287,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     found = texts.mapInArrow(_occurrences(), "anchor long, span long, doc long, place long").repartition("anchor")
     by_span = Window.partitionBy("anchor", "span").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, 0)
-    marked = found.withColumn("first", F.first(F.struct("doc", "place")).over(by_span)).withColumn("new", (F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")))
+    marked = found.withColumn("first", F.first(F.struct("doc", "place")).over(by_span)).withColumn("new", (F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")) & (F.col("span") != REPEATED))
     # different spans of the anchor: a span's first occurrence counts (rows repeated whole stand in one place and count alike)
     counted = marked.withColumn("spans", F.sum(F.col("new").cast("int")).over(Window.partitionBy("anchor")))
     marked = materialise(counted.where(~F.col("new") | (F.col("spans") > 1)).select("anchor", "span", "doc", "place", "new", "spans"))
