@@ -115,7 +115,7 @@ def test_bua_follows_envelope(spark):
 
 
 def test_lfp_and_bandpass(spark):
-    s = make(spark, [np.sin(2 * np.pi * 20 * np.arange(4000) / 2000)], 2000.0)
+    s = make(spark, [np.sin(2 * np.pi * 20 * np.arange(8000) / 2000)], 2000.0)
     low = lfp.lfp(s, Lowpass(100.0), 500.0)
     assert low.fs == 500.0 and low.bounds()[0] >= 0.1
     band = lfp.bandpass(s, Bandpass(10.0, 40.0))
