@@ -31,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     state = None
     for _ in range(MAX_ROUNDS):
-        now = materialise(_small_star(_large_star(now).distinct()).distinct())
+        now = materialise(_small_star(_large_star(now)).distinct())
         was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == was:
             break

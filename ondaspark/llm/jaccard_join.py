@@ -239,8 +239,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # --------------------------------------------------------------------------- the join
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc_id, n_shingles and fp (the entity) of every row; links has pairs (a, b) of entities that are similar.
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, labels): members has doc_id, n_shingles and fp (the entity) of every row; links has pairs (a, b) of entities that are similar; labels names each linked entity's component (node, label).
 
     The pairs connect every class of similar documents, so their components
     are those of all links; they are not all links.
@@ -283,13 +283,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             label = components(found)
         # the fewer groups reach a rank, the more of their members lead at once
         first, leaders = first + leaders, leaders * LEADERS
-    return members, found
+    return members, found, label
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
-    members, found = links(docs, words, percent)
-    label = components(found).withColumnRenamed("node", "fp").withColumnRenamed("label", "class")
+    members, _, label = links(docs, words, percent)
+    label = label.withColumnRenamed("node", "fp").withColumnRenamed("label", "class")
     # entities of no link are classes of their own; first the copies, then the classes, meet in counts that are combined before the shuffle
     entity = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = materialise(entity.join(label, "fp", "left").select("fp", "least", F.coalesce("class", "fp").alias("class")))
