@@ -15,7 +15,8 @@ empty partitions than that also give signatures for those.
 Sets that are equal are one entity throughout (its fingerprint), so copies
 cost a row each. In a signature group every member is first compared with the
 group's smallest member only; members that this leaves in another class are
-then compared with further members, 8, then 64, then 512 at a time, until no two members of
+then compared with further members, 1, then 8, then 64 at a time and those of
+most links first, until no two members of
 different classes are untested. So classes are exact and no group emits all
 its pairs. Every candidate is verified on the whole sets.
 
@@ -48,7 +49,7 @@ WORDS = 4
 PERCENT = 85
 #: Distances up to this enumerate subsets of three of k + 3 partitions.
 ENUMERATED_K = 4
-#: Members of a signature group that are compared with the rest in the first round after the leader; each further round takes so many times more.
+#: After the leader, one member of a signature group is compared with the rest; each further round takes so many times more.
 LEADERS = 8
 #: Fingerprints that a worker remembers, so as not to repeat the signatures of copies.
 SEEN = 200_000
@@ -264,19 +265,23 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
         return p.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
 
     found = materialise(_verify(near(pairs), sets, percent))
-    # ranks of the members of groups that the leader (rank 1) leaves in several classes
+    # members of groups that the leader leaves in several classes
     label = components(found)
     named = lambda df, c, as_: df.join(label.select(F.col("node").alias(c), F.col("label").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
     open_sigs = named(named(groups, "leader", "leader_class"), "fp", "class").where("class <> leader_class").select("sig").distinct()
     open_rows = groups.join(open_sigs, "sig", "left_semi")
-    all_rows = open_rows.select("sig", "fp").union(open_rows.select("sig", F.col("leader").alias("fp"))).distinct()
-    ranked = materialise(all_rows.join(sized, "fp").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("fp"))))
-    first, leaders = 2, LEADERS
+    # the entities of most links lead first: the original of many copies joins most of them to one class at once
+    degree = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("degree"))
+    all_rows = open_rows.select("sig", "fp", "leader").union(open_rows.select("sig", F.col("leader").alias("fp"), "leader")).distinct()
+    order = Window.partitionBy("sig").orderBy(F.desc("degree"), "fp")
+    ranked = materialise(all_rows.join(sized, "fp").join(degree, "fp", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("rank", F.row_number().over(order)).drop("degree"))
+    first, leaders = 1, 1
     while not ranked.where(F.col("rank") > first).isEmpty():
         rows = named(ranked, "fp", "class")
         x = rows.where(F.col("rank").between(first, first + leaders - 1)).select("sig", F.col("fp").alias("a"), F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("rank").alias("rank_a"))
-        y = rows.where(F.col("rank") > first).select("sig", F.col("fp").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), "rank")
+        y = rows.where(F.col("rank") > first).select("sig", F.col("fp").alias("b"), "leader", F.col("class").alias("class_b"), F.col("n").alias("n_b"), "rank")
         more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+        more = more.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))  # compared already
         new = materialise(_verify(materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent))
         if not new.isEmpty():
             found = materialise(found.union(new).distinct())
