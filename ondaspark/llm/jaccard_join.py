@@ -18,7 +18,11 @@ group's smallest member only; members that this leaves in another class are
 then compared with further members, 1, then 8, then 64 at a time and those of
 most links first, until no two members of
 different classes are untested. So classes are exact and no group emits all
-its pairs. Every candidate is verified on the whole sets.
+its pairs. Candidates first meet in a parity bitmap, where each feature flips
+one of 512 bits: two bitmaps differ in at most as many bits as the sets in
+features, so pairs whose bitmaps differ in more than the sizes allow can't be
+similar, and the join that proposes pairs leaves them out. What remains is
+verified on the whole sets.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing
 (n_shingles 0, component_id its doc_id); fewer words than a shingle's give one
@@ -51,6 +55,8 @@ PERCENT = 85
 ENUMERATED_K = 4
 #: After the leader, one member of a signature group is compared with the rest; each further round takes so many times more.
 LEADERS = 8
+#: 64-bit words of an entity's parity bitmap; a power of two.
+BITMAP_WORDS = 8
 #: Fingerprints that a worker remembers, so as not to repeat the signatures of copies.
 SEEN = 200_000
 
@@ -79,6 +85,12 @@ def fingerprint(s: np.ndarray) -> int:
     return int(signed(mix(np.array([s.sum(dtype=U) + U(len(s)) * _C1], U)) ^ mix(np.array([np.bitwise_xor.reduce(mix(s))], U)))[0]) if len(s) else 0
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS 64-bit words: bit i is the parity of the number of features that are dealt to i."""
+    bits = 64 * BITMAP_WORDS
+    return np.packbits(np.bincount(((s * _C2) >> U(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1).view(np.int64)
+
+
 @lru_cache(maxsize=100_000)
 def band(size: int, percent: int) -> int:
     """The band of a size: [L, L * 100 / percent], starting at 1."""
@@ -187,30 +199,48 @@ def _no_id():
 
 
 def _sets(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(fp, set) of the entities in reps(fp, rep). A filter of fixed size spares most other documents; the exact join removes the rest."""
+    """(fp, set, n, w0, w1 ...) of the entities in reps(fp, rep): features, their number, and the bitmap. A filter of fixed size spares most other documents; the exact join removes the rest."""
     wanted = reps.select("fp", F.coalesce("rep", _no_id()).alias("rep"))
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.col("fp").bitwiseXOR(F.col("rep")).alias("k")), "k"))
 
+    def out(rows: list[tuple[int, int, bytes]], maps: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(w) for w in np.stack(maps, axis=1)], names=["fp", "rep", "set", *_BITMAP])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("rep").to_numpy()
-            rows, size = [], 0
+            rows, maps, size = [], [], 0
             for i, s in enumerate(shingle_sets(binary_column(batch, "text"), words)):
                 fp = fingerprint(s)
                 if len(s) and in_bloom(np.array([fp ^ int(ids[i])]), bloom.value)[0]:
                     rows.append((fp, int(ids[i]), s.tobytes()))
+                    maps.append(bitmap(s))
                     size += s.nbytes
                     if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SET_TYPES, strict=True)], names=["fp", "rep", "set"])
-                        rows, size = [], 0
+                        yield out(rows, maps)
+                        rows, maps, size = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SET_TYPES, strict=True)], names=["fp", "rep", "set"])
+                yield out(rows, maps)
+
+    schema = "fp long, rep long, set binary, " + ", ".join(f"{w} long" for w in _BITMAP)
+    found = texts.select(F.coalesce("doc_id", _no_id()).alias("rep"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return found.join(wanted, ["fp", "rep"], "left_semi").select("fp", "set", (F.octet_length("set") / 8).cast("long").alias("n"), *_BITMAP)
+
 
-    found = texts.select(F.coalesce("doc_id", _no_id()).alias("rep"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, rep long, set binary")
-    return found.join(wanted, ["fp", "rep"], "left_semi").select("fp", "set")
+_BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
-_SET_TYPES = (pa.int64(), pa.int64(), pa.binary())
+def _side(rows: DataFrame, side: str, *others) -> DataFrame:
+    """fp as side, the size and the bitmap marked by it, and others."""
+    return rows.select(F.col("fp").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *_BITMAP)], *others)
+
+
+def _may_be_similar(percent: int):
+    """Whether sizes and bitmaps of sides a and b allow that sets are similar; true of all that are."""
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _BITMAP), F.lit(0))
+    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return size & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
 def similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
@@ -248,7 +278,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     """
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     members = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, fp long"))
-    reps = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    reps = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
 
     by_sig = Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)
     signed_ = texts.select("text").mapInArrow(_sign(words, percent), "sig long, fp long")
@@ -258,13 +288,11 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     entities = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     wanted = materialise(entities.join(reps, "fp"))
     sets = materialise(_sets(texts, wanted, words))
-    sized = wanted.select("fp", "n")
-
-    def near(p: DataFrame) -> DataFrame:
-        p = p.join(sized.select(F.col("fp").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("fp").alias("b"), F.col("n").alias("n_b")), "b")
-        return p.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-
-    found = materialise(_verify(near(pairs), sets, percent))
+    if sets.count() > wanted.count():  # rows that repeat doc_id and text
+        sets = materialise(sets.dropDuplicates(["fp"]))
+    sized = sets.select("fp", "n", *_BITMAP)
+    near = pairs.join(_side(sized, "a"), "a").join(_side(sized, "b"), "b").where(_may_be_similar(percent)).select("a", "b")
+    found = materialise(_verify(near, sets, percent))
     # members of groups that the leader leaves in several classes
     label = components(found)
     named = lambda df, c, as_: df.join(label.select(F.col("node").alias(c), F.col("label").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
@@ -278,9 +306,9 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     first, leaders = 1, 1
     while not ranked.where(F.col("rank") > first).isEmpty():
         rows = named(ranked, "fp", "class")
-        x = rows.where(F.col("rank").between(first, first + leaders - 1)).select("sig", F.col("fp").alias("a"), F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("rank").alias("rank_a"))
-        y = rows.where(F.col("rank") > first).select("sig", F.col("fp").alias("b"), "leader", F.col("class").alias("class_b"), F.col("n").alias("n_b"), "rank")
-        more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+        x = _side(rows.where(F.col("rank").between(first, first + leaders - 1)), "a", "sig", F.col("class").alias("class_a"), F.col("rank").alias("rank_a"))
+        y = _side(rows.where(F.col("rank") > first), "b", "sig", "leader", F.col("class").alias("class_b"), "rank")
+        more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & _may_be_similar(percent))
         more = more.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))  # compared already
         new = materialise(_verify(materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent))
         if not new.isEmpty():
