@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 from .pretokens import PieceCache
 
-CACHE_TOKENS = 300_000
+#: Pre-tokens and pieces whose ids a worker remembers.
+CACHE_TOKENS, CACHE_PIECES = 100_000, 100_000
 
 
 def vocabulary_path() -> str:
@@ -106,7 +107,7 @@ class ByteBPE:
         self.table = str.maketrans(self.letters)
         self.known = {t: struct.pack("<I", i) for t, i in ranks.items()}
         self.seen: dict[str, bytes] = {}
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceCache(self._pieces, CACHE_PIECES)
 
     def _learn(self, tokens: set[str]) -> None:
         """Ids of pre-tokens not seen lately. An entry of the vocabulary stands for itself; the model merges the rest."""
@@ -153,6 +154,7 @@ def model(path: str) -> ByteBPE:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), a row per document."""
     path = path or vocabulary_path()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
@@ -180,9 +182,26 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded (binary): decode(encode(docs)) with one Python worker a task, and so one model, for both."""
+    path = path or vocabulary_path()
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                out = [bpe.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode, decode, and the digests of both. Encoding and decoding are one Python stage: nothing is shuffled."""
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -91,6 +91,17 @@ def in_bloom(keys: np.ndarray, bloom: bytes, bits: int = BLOOM_BITS) -> np.ndarr
 # --------------------------------------------------------------------------- Arrow batches
 
 
+#: Rows of an Arrow batch at most, so that a batch of whole texts stays at a few MB in the JVM and in Python.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows in an Arrow batch to BATCH_ROWS; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A binary column without nulls (null becomes empty)."""
     col = batch.column(name)

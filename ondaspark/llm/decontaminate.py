@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, documents, materialise
+from .common import binary_column, bounded_batches, documents, materialise
 
 WIDTH = 13
 #: A document is contaminated when hit words are at least 1 / RATIO of its words.
@@ -150,6 +150,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_spans:
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     blocks = [WindowSet(items, width) for items in _blocks(benchmark, block_words)] or [WindowSet([], width)]
     if len(blocks) == 1:
+        bounded_batches(source.sparkSession)
         return source.mapInArrow(_scanner(blocks[0], with_spans), SCAN_SCHEMA)
     # More than one block: hit words must be united, so every block's scan returns word positions by way of spans.
     keyed = materialise(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
@@ -190,6 +191,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents") -> Da
     """
     names = docs.columns
     for items in _blocks(benchmark, MAX_BROADCAST_WORDS):
+        bounded_batches(docs.sparkSession)
         docs = docs.mapInArrow(_remover(WindowSet(items, WIDTH), names, mode), docs.schema)
     return docs
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, binary_column, bloom_filter, chunks, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
+from .common import U, binary_column, bloom_filter, bounded_batches, chunks, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
 from .components import components
 
 WORDS = 4
@@ -276,6 +276,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     The pairs connect every class of similar documents, so their components
     are those of all links; they are not all links.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     members = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, fp long"))
     reps = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U, binary_column, chunks, documents, mix, prefix_hash, span_hash, window_hashes, word_spans
+from .common import _SPACE, U, binary_column, bounded_batches, chunks, documents, mix, prefix_hash, span_hash, window_hashes, word_spans
 
 #: Labelled documents that are learned from, at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 12_000
@@ -137,6 +137,7 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
     kind = StructType([StructField(k, LongType()) for k in COUNTS])
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))
 
 
