@@ -26,12 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) of every node with an edge; label is the smallest node of its component. Loops and repeated edges are harmless, nulls are ignored."""
-    now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: list[str] | None = None) -> DataFrame:
+    """(node, label) of every node with an edge; label is the smallest node of its component. Loops and repeated edges are harmless, nulls are ignored. The folders it writes are added to scratch."""
+    now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), scratch)
     state = None
     for _ in range(MAX_ROUNDS):
-        now = materialise(_small_star(_large_star(now)).distinct())
+        now = materialise(_small_star(_large_star(now)).distinct(), scratch)
         was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == was:
             break

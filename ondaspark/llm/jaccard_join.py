@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, binary_column, bloom_filter, bounded_batches, chunks, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
+from .common import U, binary_column, bloom_filter, bounded_batches, chunks, delete_paths, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
 from .components import components
 
 WORDS = 4
@@ -270,32 +270,34 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # --------------------------------------------------------------------------- the join
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, labels): members has doc_id, n_shingles and fp (the entity) of every row; links has pairs (a, b) of entities that are similar; labels names each linked entity's component (node, label).
 
     The pairs connect every class of similar documents, so their components
-    are those of all links; they are not all links.
+    are those of all links; they are not all links. The folders that links
+    and labels rest on are added to scratch, for the caller to delete.
     """
     bounded_batches(docs.sparkSession)
+    scratch = [] if scratch is None else scratch
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     members = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, fp long"))
     reps = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
 
     by_sig = Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)
     signed_ = texts.select("text").mapInArrow(_sign(words, percent), "sig long, fp long")
-    groups = materialise(signed_.withColumn("leader", F.first("fp").over(by_sig)).where("leader <> fp").distinct())
+    groups = materialise(signed_.withColumn("leader", F.first("fp").over(by_sig)).where("leader <> fp").distinct(), scratch)
 
-    pairs = materialise(groups.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct())
+    pairs = materialise(groups.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), scratch)
     entities = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialise(entities.join(reps, "fp"))
-    sets = materialise(_sets(texts, wanted, words))
+    wanted = materialise(entities.join(reps, "fp"), scratch)
+    sets = materialise(_sets(texts, wanted, words), scratch)
     if sets.count() > wanted.count():  # rows that repeat doc_id and text
-        sets = materialise(sets.dropDuplicates(["fp"]))
+        sets = materialise(sets.dropDuplicates(["fp"]), scratch)
     sized = sets.select("fp", "n", *_BITMAP)
     near = pairs.join(_side(sized, "a"), "a").join(_side(sized, "b"), "b").where(_may_be_similar(percent)).select("a", "b")
-    found = materialise(_verify(near, sets, percent))
+    found = materialise(_verify(near, sets, percent), scratch)
     # members of groups that the leader leaves in several classes
-    label = components(found)
+    label = components(found, scratch=scratch)
     named = lambda df, c, as_: df.join(label.select(F.col("node").alias(c), F.col("label").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
     open_sigs = named(named(groups, "leader", "leader_class"), "fp", "class").where("class <> leader_class").select("sig").distinct()
     open_rows = groups.join(open_sigs, "sig", "left_semi")
@@ -303,18 +305,18 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     degree = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("degree"))
     all_rows = open_rows.select("sig", "fp", "leader").union(open_rows.select("sig", F.col("leader").alias("fp"), "leader")).distinct()
     order = Window.partitionBy("sig").orderBy(F.desc("degree"), "fp")
-    ranked = materialise(all_rows.join(sized, "fp").join(degree, "fp", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("rank", F.row_number().over(order)).drop("degree"))
+    ranked = materialise(all_rows.join(sized, "fp").join(degree, "fp", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("rank", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy("sig"))).drop("degree"), scratch)
     first, leaders = 1, 1
     while not ranked.where(F.col("rank") > first).isEmpty():
-        rows = named(ranked, "fp", "class")
+        rows = named(ranked.where(F.col("size") > first), "fp", "class")  # groups that end before have been compared
         x = _side(rows.where(F.col("rank").between(first, first + leaders - 1)), "a", "sig", F.col("class").alias("class_a"), F.col("rank").alias("rank_a"))
         y = _side(rows.where(F.col("rank") > first), "b", "sig", "leader", F.col("class").alias("class_b"), "rank")
         more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & _may_be_similar(percent))
         more = more.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))  # compared already
-        new = materialise(_verify(materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent))
+        new = materialise(_verify(materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), scratch), sets, percent), scratch)
         if not new.isEmpty():
-            found = materialise(found.union(new).distinct())
-            label = components(found)
+            found = materialise(found.union(new).distinct(), scratch)
+            label = components(found, scratch=scratch)
         # the fewer groups reach a rank, the more of their members lead at once
         first, leaders = first + leaders, leaders * LEADERS
     return members, found, label
@@ -322,11 +324,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
-    members, _, label = links(docs, words, percent)
+    scratch: list[str] = []
+    members, _, label = links(docs, words, percent, scratch)
     label = label.withColumnRenamed("node", "fp").withColumnRenamed("label", "class")
     # entities of no link are classes of their own; first the copies, then the classes, meet in counts that are combined before the shuffle
     entity = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = materialise(entity.join(label, "fp", "left").select("fp", "least", F.coalesce("class", "fp").alias("class")))
+    delete_paths(docs.sparkSession, scratch)
     class_least = named.groupBy("class").agg(F.min("least").alias("component_id"))
     of_entity = named.join(class_least, "class").select("fp", "component_id")
     return members.join(of_entity, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
