@@ -22,14 +22,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- scratch tables
 
 
+#: The temporary folder of a local application that names none.
+_own_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only for a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ondaspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # the setting can't be changed in a running session
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="ondaspark-")
+        base = _own_dirs[app]
     return f"{base.rstrip('/')}/ondaspark"
 
 
