@@ -223,6 +223,51 @@ def test_language_model(spark, texts):
         assert got[i]["score"] < 0
 
 
+def brute_stretch(seen, context, byte):
+    """Stretched predictions of a byte's bits from the bytes that followed its context."""
+    from math import log
+
+    out = []
+    for j in range(8):
+        at = [b for b in seen.get(context, []) if b >> (8 - j) == byte >> (8 - j)]
+        ones = sum(b >> (7 - j) & 1 for b in at)
+        out.append(log((ones + 0.4) / (len(at) - ones + 0.4)) * len(at) / (len(at) + 1.5))
+    return out
+
+
+@pytest.mark.parametrize(("keys", "heavy"), [(1 << 14, 1 << 18), (9, 20), (1, 0)])
+def test_language_model_counts_every_context(spark, texts, keys, heavy, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK_KEYS", keys)
+    packed, *entries = language_model.gather(language_model.keys_of(table(spark, texts)), heavy)
+    seen = [{} for _ in range(5)]
+
+    def places(text):
+        last = 32
+        for w in [*(text or "").encode().lower().split(), None]:
+            token = b"\n" if w is None else w + b" "
+            for i, b in enumerate(token):
+                back = (bytes([0, 0, 0, last, 32]) + token[:i])[-4:][::-1]
+                yield [back[: k + 1] for k in range(4)] + [token[:i]], b
+            last = last if w is None else w[-1]
+
+    for i, t in enumerate(texts):
+        for contexts, b in places(t) if zlib.crc32(str(i).encode()) % 7 != 2 else ():
+            for k, c in enumerate(contexts):
+                seen[k].setdefault(c, []).append(b)
+    got = {}
+    for row in packed.collect():
+        row = row.asDict()
+        chunk = language_model.Chunk(row)
+        x, data = chunk.inputs(*entries, row, language_model.PARTS), bytes(row["tokens"])
+        for at, u in enumerate(chunk.unit):
+            low = int(chunk.low[u]).to_bytes(4, "little")
+            got[data[chunk.offs[chunk.token[at]] : at], low, data[at]] = x[:, :, u]
+    want = {(c[4], c[3], b): c for t in texts for c, b in places(t)}
+    assert got.keys() == want.keys()
+    for (_, _, b), c in list(want.items())[::7]:
+        assert got[c[4], c[3], b] == pytest.approx(np.array([brute_stretch(seen[k], c[k], b) for k in range(5)]), abs=1e-4)
+
+
 @pytest.mark.parametrize("run", [lambda d, s: quality_rules.judge(d, s), lambda d, s: jaccard_join.classes(d), lambda d, s: suffix_dedup.remove(d), lambda d, s: kd_sharding.assign(d), lambda d, s: pii.redact(d), lambda d, s: language_model.score(d), lambda d, s: byte_bpe.digests(d)])
 def test_empty_tables(spark, run):
     labels = spark.createDataFrame([], "doc_id long, quality int")
