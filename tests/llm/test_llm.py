@@ -268,6 +268,14 @@ def test_language_model_counts_every_context(spark, texts, keys, heavy, monkeypa
         assert got[c[4], c[3], b] == pytest.approx(np.array([brute_stretch(seen[k], c[k], b) for k in range(5)]), abs=1e-4)
 
 
+def test_language_model_trains_on_all_documents(spark, monkeypatch):
+    sums, docs = [], [f"word{i} of {i % 7}" for i in range(900)]
+    monkeypatch.setattr(language_model.Mixer, "settle", lambda self, found: sums.append(found[:, 1].sum()))
+    language_model.score(table(spark, docs))
+    bytes_ = sum(len(t) + 2 for i, t in enumerate(docs) if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert sums == [8 * bytes_]
+
+
 @pytest.mark.parametrize("run", [lambda d, s: quality_rules.judge(d, s), lambda d, s: jaccard_join.classes(d), lambda d, s: suffix_dedup.remove(d), lambda d, s: kd_sharding.assign(d), lambda d, s: pii.redact(d), lambda d, s: language_model.score(d), lambda d, s: byte_bpe.digests(d)])
 def test_empty_tables(spark, run):
     labels = spark.createDataFrame([], "doc_id long, quality int")
