@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import binary_column, bounded_batches, documents, materialise
+from .common import binary_column, bounded_batches, delete_paths, documents, materialise
 
 WIDTH = 13
 #: A document is contaminated when hit words are at least 1 / RATIO of its words.
@@ -186,27 +187,53 @@ def contaminated() -> F.Column:
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents") -> DataFrame:
     """docs (all columns) without contaminated documents, or (mode ``spans``) with every hit span cut from the text.
 
-    Scans and decides in one pass over the rows, so rows need no key and keep
-    their columns. A benchmark of several blocks is applied block by block.
+    Rows carry their hits, so they need no key and keep their columns. Each
+    block of a benchmark but the last adds its hits to those of the blocks
+    before; the last one's scan decides and cuts on the hits of all.
     """
-    names = docs.columns
+    schema, marks, scratch, last = docs.schema, "hit", [], None
+    while marks in {c.lower() for c in docs.columns}:
+        marks = "_" + marks
+    bounded_batches(docs.sparkSession)
     for items in _blocks(benchmark, MAX_BROADCAST_WORDS):
-        bounded_batches(docs.sparkSession)
-        docs = docs.mapInArrow(_remover(WindowSet(items, WIDTH), names, mode), docs.schema)
-    return docs
+        if last is not None:
+            before, scratch = scratch, []
+            marked = StructType([*schema.fields, StructField(marks, BinaryType())])
+            docs = materialise(docs.mapInArrow(_marker(WindowSet(last, WIDTH), schema.names, marks), marked), scratch)
+            delete_paths(docs.sparkSession, before)
+        last = items
+    return docs if last is None else docs.mapInArrow(_remover(WindowSet(last, WIDTH), schema.names, mode, marks), schema)
+
+
+def _hits(batch: pa.RecordBatch, windows: WindowSet, marks: str) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(text, hit words) of each row, with the hits that it carries."""
+    number = windows.numbers.get
+    carried = batch.column(marks) if marks in batch.schema.names else [None] * len(batch)
+    for value, old in zip(binary_column(batch, "text"), carried, strict=True):
+        text = value.as_py()
+        words = words_of(text)
+        hit, _ = windows.scan(np.fromiter((number(w, 0) for w in words), np.uint64, len(words)))
+        if old is not None:
+            hit |= np.unpackbits(np.frombuffer(old.as_py(), np.uint8), count=len(hit)).astype(bool)
+        yield text, hit
+
+
+def _marker(windows: WindowSet, names: list[str], marks: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([np.packbits(hit).tobytes() for _, hit in _hits(batch, windows, marks)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], found], names=[*names, marks])
+
+    return run
 
 
-def _remover(windows: WindowSet, names: list[str], mode: str):
+def _remover(windows: WindowSet, names: list[str], mode: str, marks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = windows.numbers.get
         for batch in batches:
             keep, texts = [], []
-            for value in binary_column(batch, "text"):
-                text = value.as_py()
-                words = words_of(text)
-                hit, items = windows.scan(np.fromiter((number(w, 0) for w in words), np.uint64, len(words)))
+            for text, hit in _hits(batch, windows, marks):
                 n = int(hit.sum())
-                keep.append(not (n and RATIO * n >= len(words)) or mode == "spans")
+                keep.append(not (n and RATIO * n >= len(hit)) or mode == "spans")
                 if n and mode == "spans":
                     whole = text.decode()
                     for s in reversed(_spans(text, hit)):
@@ -218,7 +245,7 @@ def _remover(windows: WindowSet, names: list[str], mode: str):
                 old = batch.column("text").to_pylist()
                 new = pa.array([b if a is None else a for a, b in zip(texts, old, strict=True)], pa.string())
                 batch = pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in names], names=names)
-            yield batch.filter(pa.array(keep))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     return run
 

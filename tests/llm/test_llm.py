@@ -163,6 +163,19 @@ def test_decontamination(spark, texts):
     assert rows(decontaminate.remove(docs, items, "spans"))[4]["text"] == ""
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_removal_unites_blocks(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WORDS", limit)
+    filler = [f"f{i}" for i in range(94)]
+    docs = table(spark, [" ".join(["a b c", *filler, "d e f"]), " ".join(["a b c", *filler, "d e"]), "x a b c g y", None])
+    items = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "b c g")], "item_id long, text string")
+    assert set(rows(decontaminate.remove(docs, items))) == {1, 3}
+    cut = decontaminate.remove(docs, items, "spans")
+    assert cut.columns == docs.columns
+    got = rows(cut)
+    assert got[2]["text"] == "x  y" and got[0]["text"] == " " + " ".join(filler) + " " and got[3]["text"] is None
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
