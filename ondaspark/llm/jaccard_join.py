@@ -337,13 +337,16 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, all columns, with one document of each class: that of the smallest doc_id (null ids last). Of rows that repeat doc_id and text one stays, too."""
+    """docs, all columns, with one document of each class: that of the smallest doc_id (null ids last; of equal ids, one text). Of rows that repeat doc_id and text one stays, too."""
     name = "key"
     while name in {c.lower() for c in docs.columns}:
         name = "_" + name
-    keyed = docs.withColumn(name, F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1).bitwiseOR(1 << 62)))
+    # different texts of one doc_id are different members
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
     found = materialise(classes(keyed.select(F.col(name).alias("doc_id"), "text"), words, percent))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    ids = keyed.select(name, F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", name))[name]
+    stay = found.select(F.col("doc_id").alias(name), "component_id").join(ids, name).groupBy("component_id").agg(first.alias(name)).select(name)
     kept = keyed.join(stay, name, "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([name, "text"])

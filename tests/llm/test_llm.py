@@ -301,3 +301,15 @@ def test_repeated_and_null_keys(spark):
     kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in jaccard_join.keep_one(docs).collect())
     assert kept == [(-1, ""), (1, long_), (2, ""), (3, "short")]
     assert suffix_dedup.remove(docs).count() == kd_sharding.assign(docs).count() == language_model.score(docs).count() == 6
+
+
+def test_keep_one_with_shared_ids(spark):
+    def text(c, last):
+        return " ".join([*(f"{c}{i}" for i in range(80)), last])
+
+    a, a2, b, b2, c = text("a", "x"), text("a", "y"), text("b", "x"), text("b", "y"), text("c", "x")
+    docs = spark.createDataFrame([(1, a), (1, a2), (7, b), (3, b2), (3, c), (3, c), (None, text("c", "y")), (1, None), (1, "")], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect()]
+    ones = [k for k in kept if k in ((1, a), (1, a2))]
+    assert len(ones) == 1
+    assert sorted(kept, key=str) == sorted([*ones, (3, b2), (3, c), (1, None), (1, "")], key=str)
