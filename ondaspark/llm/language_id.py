@@ -12,7 +12,9 @@ with it.
 Defined cases: null text or text without a letter gives ``und`` and score 0;
 a null doc_id counts as the empty string in the fold; rows of null lang are
 predicted, not learned from; without any learnable row all is ``und``;
-repeated rows are predicted alike; other columns are ignored.
+repeated rows are predicted alike and learned from once; other columns are
+ignored. Every lang value outside the held-out fold is learned; the model has a
+column of 128 KB for each, so their number must suit the driver.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from .common import binary_column, documents, lower, raw
 
 ORDERS = (1, 2, 3)
 HASH_BITS = 15
-#: Training texts that are learned from, at most, about the same number of each language; of these, landmarks.
-MAX_TRAIN = 3000
+#: Training texts that are learned from: about MAX_TRAIN, the same number of each language, but MIN_EACH of each at least (all, if there are fewer).
+MAX_TRAIN, MIN_EACH = 3000, 10
+#: Training texts that are landmarks; never fewer than languages.
 LANDMARKS = 400
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 3, 1
-#: Texts whose presence vectors stand in memory at once (128 KB each).
-BATCH = 64
+#: Texts whose presence vectors stand in memory at once (128 KB each), when scoring and when fitting.
+BATCH, FIT_BATCH = 64, 256
 UNKNOWN = "und"
 
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
@@ -83,34 +86,44 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and presence vectors of about MAX_TRAIN rows outside the held-out fold, chosen by a hash of the text and key."""
+    """Languages and presence vectors (eight places a byte) of a sample of the rows outside the held-out fold, chosen by a hash of key and text: an equal share of each language, and always its row of smallest hash."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_TRAIN // 10).collect()}
+    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(spot).alias("least")).collect()}
     if not counts:
-        return [], np.zeros((0, 1 << HASH_BITS), np.uint8)
-    each = MAX_TRAIN // len(counts)
-    spot = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1.0, each / n) * (1 << 30)))])
-    chosen = rows.where(spot < F.try_element_at(share, F.col("lang"))).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_packed, "lang string, bits binary")
-    got = chosen.orderBy(F.xxhash64("bits"), "lang").limit(2 * MAX_TRAIN).collect()
-    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1)
-    return [r["lang"] for r in got], np.unpackbits(bits, axis=1)
-
-
-def fit(langs: list[str], x: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(languages, matrix of places by languages): scores of a text are its presence vector times the matrix over its root norm."""
+        return [], np.zeros((0, 1 << HASH_BITS - 3), np.uint8)
+    each = max(MIN_EACH, MAX_TRAIN // len(counts))
+    edges = docs.sparkSession.createDataFrame([(k, max(int(min(1.0, each / n) * (1 << 30)), least + 1)) for k, (n, least) in counts.items()], "lang string, edge long")
+    chosen = rows.join(F.broadcast(edges), "lang").where(spot < F.col("edge"))
+    # equal rows have equal hashes and come together: one of them is enough
+    packed = chosen.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_packed, "lang string, bits binary").distinct()
+    got = sorted((bytes(r["bits"]), r["lang"]) for r in packed.toLocalIterator())
+    # in an order of no meaning
+    got = [got[i] for i in np.random.default_rng(len(got)).permutation(len(got))]
+    return [lang for _, lang in got], np.frombuffer(b"".join(bits for bits, _ in got), np.uint8).reshape(len(got), -1)
+
+
+def unit_vectors(packed: np.ndarray) -> np.ndarray:
+    """Presence vectors divided by their norms."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
+
+def fit(langs: list[str], packed: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(languages, matrix of places by languages): scores of a text are its presence vector times the matrix over its root norm. Vectors are unpacked FIT_BATCH at a time."""
     names = sorted(set(langs))
     if not names:
         return [], np.zeros((1 << HASH_BITS, 0), np.float32)
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    norm = np.maximum(np.sqrt(x.sum(axis=1, dtype=np.float64)), 1)
-    unit = x.astype(np.float32) / norm[:, None].astype(np.float32)
-    # landmarks: every language in turn, in the hashed order of the sample
-    order = np.argsort([langs[:i].count(l) for i, l in enumerate(langs)], kind="stable")[:LANDMARKS]
-    marks = unit[order]
-    k_nm = (unit @ marks.T).astype(np.float64)
-    k_mm = (marks @ marks.T).astype(np.float64)
-    a = k_nm.T @ k_nm + RIDGE * len(langs) * k_mm + 1e-6 * len(langs) * np.eye(len(order))
+    # landmarks: every language in turn
+    turn, seen = [], dict.fromkeys(names, 0)
+    for lang in langs:
+        turn.append(seen[lang])
+        seen[lang] += 1
+    order = np.argsort(turn, kind="stable")[: max(LANDMARKS, len(names))]
+    marks = unit_vectors(packed[order])
+    k_nm = np.concatenate([unit_vectors(packed[i : i + FIT_BATCH]) @ marks.T for i in range(0, len(packed), FIT_BATCH)]).astype(np.float64)
+    a = k_nm.T @ k_nm + RIDGE * len(langs) * k_nm[order] + 1e-6 * len(langs) * np.eye(len(order))
     dual = np.linalg.solve(a, k_nm.T @ y)
     return names, (marks.T @ dual.astype(np.float32)).astype(np.float32)
 
