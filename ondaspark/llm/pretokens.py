@@ -43,9 +43,14 @@ class PieceCache:
         if len(self.new) + len(missing) > self.limit and self.new:
             self.old, self.new = self.new, {}
             missing = wanted
-        known = missing.intersection(self.old)
-        self.new.update((p, self.old[p]) for p in known)
-        unknown = list(missing.difference(known))
+        # set.intersection() would go through the whole table
+        old, unknown = self.old, []
+        for p in missing:
+            ids = old.get(p)
+            if ids is None:
+                unknown.append(p)
+            else:
+                self.new[p] = ids
         self.new.update(zip(unknown, self.encode([" " + p for p in unknown]), strict=True))
 
     def many(self, texts: list[str]) -> list[bytes]:

@@ -1,45 +1,58 @@
 """Token-id files with a minimal perfect hash index for keyed access.
 
 ``write`` sorts documents by key, encodes them, appends the end id and writes
-blocks. A block is one row of a Parquet shard (written by Spark's committing
-writer, the only writer that reaches every store and survives lost
-executors). Its ``payload`` is the raw ids of its documents one after the
-other, little-endian unsigned integers of ``id_bytes`` bytes (2 if all ids fit,
-else 4). Its index maps a key to its place in constant time: level bit arrays
-of a minimal perfect hash function give the key's slot, ``fingerprints`` holds
-a 32-bit stored fingerprint for the slot, ``offsets`` where its ids start.
-Blocks hold ``BLOCK_IDS`` ids or a single longer document.
+blocks. A block is one row, and one row group, of a Parquet shard (written by
+Spark's committing writer, the only writer that reaches every store and
+survives lost executors). Its ``payload`` is the raw ids of its documents one
+after the other, little-endian unsigned integers of ``id_bytes`` bytes (2 if
+all ids fit, else 4). Its index maps a key to its place in constant time: level
+bit arrays of a minimal perfect hash function with a rank directory give the
+key's slot, ``fingerprints`` holds a 32-bit stored fingerprint for the slot,
+``slots_offset`` where its ids start. Blocks hold ``BLOCK_IDS`` ids or a single
+longer document, and know their first and last key and the ids before them in
+their shard. A manifest has a row for each shard: the ids before it, and its
+first and last key.
 
 ``read`` looks every key up through the index, verifies fingerprints and
-returns the ids; ``lookup`` does so for chosen keys.
+returns the ids; ``lookup`` does so for chosen keys, and opens the blocks
+alone whose range of keys holds one of them.
 
 Defined cases: null and empty texts give the end id alone; a null doc_id is a
 key of its own that sorts first; repeated doc_ids are told apart by their
 ordinal in the block (their order among themselves is that of their texts);
 an empty table gives no blocks; other columns are ignored. A key group of any
 size is spread over range partitions, since the sort is by key and text hash.
+A text that holds the string of an added token is encoded whole, as the
+library does, so that string gives the token's id.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, documents, mix, scratch_dir
+from .byte_bpe import byte_alphabet
+from .common import U, bounded_batches, documents, mix, scratch_dir
 from .pretokens import PieceCache
 
 #: Ids in a block, at which the next one begins.
 BLOCK_IDS = 1 << 19
 #: Bits of a level of the hash function for each key that reaches it.
 GAMMA = 1.5
+#: Bits for each entry of the rank directory.
+RANK_BITS = 512
 END_ID = 0
 
-BLOCK_SCHEMA = "shard int, block int, n_docs long, n_ids long, id_bytes int, keys binary, nulls binary, levels binary, level_bits array<long>, slots_offset binary, slots_length binary, fingerprints binary, payload binary"
+BLOCK_SCHEMA = "shard int, block int, n_docs long, n_ids long, before long, has_null boolean, first_key long, last_key long, id_bytes int, keys binary, nulls binary, levels binary, level_bits array<long>, ranks binary, slots_offset binary, slots_length binary, fingerprints binary, payload binary"
+MANIFEST_SCHEMA = "shard int, base long, n_ids long, n_docs long, has_null boolean, first_key long, last_key long"
 
 
 def tokenizer_path() -> str:
@@ -49,12 +62,54 @@ def tokenizer_path() -> str:
 
 
 _encoders: dict[str, tuple] = {}
-#: What stands for a space in the vocabulary.
-SPACE_LETTER = "\u0120"
+#: Pieces of these characters alone, whose classes no version of Unicode has changed, are cut here; others are left to the library.
+_PLAIN = re.compile(" [!-~\u00a1-\u024f](?:[\n!-~\u00a1-\u024f]*[!-~\u00a1-\u024f])?")
+#: Fixed value: the library's byte-level pattern.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pre-tokens whose ids a worker remembers.
+CACHE_TOKENS = 250_000
+
+
+class PieceEncoder:
+    """Packed 32-bit ids of pieces by the tokenizers library: its model on pre-tokens that are met anew, its whole encoder on pieces out of the ordinary."""
+
+    def __init__(self, tokenizer):
+        import regex
+
+        self.whole = lambda x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        self.find, self.tokenize = regex.compile(_BYTE_LEVEL).findall, tokenizer.model.tokenize
+        self.table = str.maketrans(dict(zip((chr(b) for b in range(256)), byte_alphabet(), strict=True)))
+        self.seen: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, plain = [b""] * len(texts), []
+        for i, x in enumerate(texts):
+            if _PLAIN.fullmatch(x):
+                plain.append(i)
+            elif x:
+                out[i] = self.whole(x)
+        # every piece begins with the one space that it holds, so it begins a pre-token, too
+        tokens = self.find("".join([texts[i] for i in plain]))
+        if len(self.seen) > CACHE_TOKENS:
+            self.seen.clear()
+        seen = self.seen
+        for t in set(tokens).difference(seen):
+            seen[t] = array("I", [x.id for x in self.tokenize(t.encode().decode("latin-1").translate(self.table))]).tobytes()
+        at = iter(plain)
+        i, parts = -1, []
+        for t in tokens:
+            if t[0] == " ":
+                if parts:
+                    out[i] = b"".join(parts)
+                i, parts = next(at), []
+            parts.append(seen[t])
+        if parts:
+            out[i] = b"".join(parts)
+        return out
 
 
 def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
-    """Texts to packed 32-bit ids by the tokenizers library, with a table of pieces; and the vocabulary's size."""
+    """Texts to packed 32-bit ids, as the tokenizers library encodes them without adding special tokens; and the vocabulary's size."""
     if path not in _encoders:
         import os
 
@@ -62,31 +117,20 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        starts = np.zeros(t.get_vocab_size(), bool)
-        starts[[i for token, i in t.get_vocab().items() if token[0] == SPACE_LETTER]] = True
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        kind = json.loads(t.to_str())
+        pre = kind["pre_tokenizer"] or {}
+        # texts are cut for a bare byte-level tokenizer only; another one's are encoded whole
+        bare = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not kind["model"].get("dropout")
+        pieces = PieceEncoder(t)
+        cache = PieceCache(pieces)
 
         def encode(texts: list[str]) -> list[bytes]:
-            """Texts that hold one space, in front, and end in no white space are encoded as one: a token with a space in front begins the next."""
-            out, plain = [b""] * len(texts), []
-            for i, x in enumerate(texts):
-                if x[:1] == " " and x.rfind(" ") == 0 and not x[-1].isspace():
-                    plain.append(i)
-                elif x:
-                    out[i] = array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
-            for k in range(0, len(plain), 4000):
-                part = plain[k : k + 4000]
-                ids = np.array(t.encode("".join([texts[i] for i in part]), add_special_tokens=False).ids, "<u4")
-                cuts = [*(4 * np.flatnonzero(starts[ids])).tolist(), 4 * len(ids)]
-                raw = ids.tobytes()
-                if len(cuts) != len(part) + 1:
-                    raise AssertionError("a token joined two pieces")
-                for i, a, b in zip(part, cuts, cuts[1:]):
-                    out[i] = raw[a:b]
-            return out
-
-        _encoders[path] = (PieceCache(encode).many, t.get_vocab_size())
+            cut = [bare and not any(a in x for a in added) for x in texts]
+            some = iter(cache.many([x for x, c in zip(texts, cut, strict=True) if c]))
+            return [next(some) if c else pieces.whole(x) for x, c in zip(texts, cut, strict=True)]
+
+        _encoders[path] = (encode, t.get_vocab_size())
     return _encoders[path]
 
 
@@ -126,16 +170,40 @@ def build(h: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
     return bits, sizes, rank[place] if len(h) else place
 
 
-def slots(h: np.ndarray, bits: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """The slot of each hash, -1 where no level holds it (an unknown key may still get a slot: compare fingerprints)."""
-    rank = np.cumsum(bits) - 1
-    out, open_, base = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
-    for level, size in enumerate(sizes):
-        at = base + _level(h[open_], level, size)
-        found = bits[at]
-        out[open_[found]] = rank[at[found]]
-        open_, base = open_[~found], base + size
-    return out
+class Levels:
+    """The level bits of a hash function with a rank directory: each key's slot takes a few steps, whatever the number of keys."""
+
+    def __init__(self, packed: bytes, sizes: list[int], ranks: bytes):
+        self.bytes, self.sizes, self.ranks = np.frombuffer(packed, np.uint8), sizes, np.frombuffer(ranks, "<u4")
+
+    @staticmethod
+    def pack(bits: np.ndarray) -> tuple[bytes, bytes]:
+        """(bits, padded to whole runs of RANK_BITS; number of ones before each run)."""
+        runs = -(-len(bits) // RANK_BITS)
+        padded = np.zeros(runs * RANK_BITS, bool)
+        padded[: len(bits)] = bits
+        ones = np.cumsum(padded.reshape(runs, RANK_BITS).sum(axis=1))
+        return np.packbits(padded).tobytes(), np.concatenate([[0], ones[:-1]])[:runs].astype("<u4").tobytes()
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        run = at // RANK_BITS
+        width = RANK_BITS // 8
+        own = self.bytes.reshape(-1, width)[run]
+        inside = np.unpackbits(own, axis=1)
+        return self.ranks[run] + np.where(np.arange(RANK_BITS) < (at % RANK_BITS)[:, None], inside, 0).sum(axis=1)
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where no level holds it (an unknown key may still get a slot: compare fingerprints)."""
+        out, open_, base = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
+        for level, size in enumerate(self.sizes):
+            at = base + _level(h[open_], level, size)
+            found = (self.bytes[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            for i in range(0, int(found.sum()), 4096):
+                part = np.flatnonzero(found)[i : i + 4096]
+                out[open_[part]] = self.rank(at[part])
+            open_, base = open_[~found], base + size
+        return out
 
 
 def fingerprints(h: np.ndarray) -> np.ndarray:
@@ -145,7 +213,7 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- writing
 
 
-def _block(shard: int, block: int, keys: list, ids: list[bytes], id_bytes: int) -> dict:
+def _block(shard: int, block: int, before: int, keys: list, ids: list[bytes], id_bytes: int) -> dict:
     nulls = np.array([k is None for k in keys], bool)
     values = np.array([0 if k is None else k for k in keys], "<i8")
     h = key_hashes(values, nulls)
@@ -156,21 +224,26 @@ def _block(shard: int, block: int, keys: list, ids: list[bytes], id_bytes: int)
     for out, x in zip(by_slot, (starts, lengths, fingerprints(h)), strict=True):
         out[slot] = x
     payload = np.frombuffer(b"".join(ids), "<u4")
+    levels, ranks = Levels.pack(bits)
+    real = values[~nulls]
     return {
-        "shard": shard, "block": block, "n_docs": len(keys), "n_ids": int(lengths.sum(dtype=np.int64)), "id_bytes": id_bytes,
-        "keys": values.tobytes(), "nulls": np.packbits(nulls).tobytes(), "levels": np.packbits(bits).tobytes(), "level_bits": sizes,
+        "shard": shard, "block": block, "n_docs": len(keys), "n_ids": int(lengths.sum(dtype=np.int64)), "before": before, "has_null": bool(nulls.any()),
+        "first_key": int(real[0]) if len(real) else None, "last_key": int(real[-1]) if len(real) else None, "id_bytes": id_bytes,
+        "keys": values.tobytes(), "nulls": np.packbits(nulls).tobytes(), "levels": levels, "level_bits": sizes, "ranks": ranks,
         "slots_offset": by_slot[0].tobytes(), "slots_length": by_slot[1].tobytes(), "fingerprints": by_slot[2].tobytes(), "payload": payload.astype(f"<u{id_bytes}").tobytes(),
     }
 
 
 def arrow_schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[t]) for n, t in (x.split(" ") for x in BLOCK_SCHEMA.split(", "))])
 
 
 def write(docs: DataFrame, out: str, path: str | None = None, partitions: int | None = None, block_ids: int = BLOCK_IDS) -> None:
-    """Encode docs in ascending doc_id order into block files under out. One shuffle, of the texts, by range of key."""
+    """Encode docs in ascending doc_id order into block files and a manifest under out. One shuffle, of the texts, by range of key."""
     path = path or tokenizer_path()
+    spark = docs.sparkSession
+    bounded_batches(spark)
     schema = arrow_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +252,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, partitions: int |
         encode, vocabulary = encoder(path)
         id_bytes = 2 if vocabulary <= 1 << 16 else 4
         end = array("I", [END_ID]).tobytes()
-        shard, block, keys, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, block, before, keys, ids, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in batches:
             for i, key in enumerate(batch.column("doc_id").to_pylist()):
                 if i % 128 == 0:
@@ -188,15 +261,23 @@ def write(docs: DataFrame, out: str, path: str | None = None, partitions: int |
                 ids.append(texts[i % 128] + end)
                 n += len(ids[-1]) // 4
                 if n >= block_ids:
-                    yield pa.RecordBatch.from_pylist([_block(shard, block, keys, ids, id_bytes)], schema)
-                    block, keys, ids, n = block + 1, [], [], 0
+                    yield pa.RecordBatch.from_pylist([_block(shard, block, before, keys, ids, id_bytes)], schema)
+                    block, before, keys, ids, n = block + 1, before + n, [], [], 0
         if keys:
-            yield pa.RecordBatch.from_pylist([_block(shard, block, keys, ids, id_bytes)], schema)
+            yield pa.RecordBatch.from_pylist([_block(shard, block, before, keys, ids, id_bytes)], schema)
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text").asc_nulls_first()]
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    ordered.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(out)
+    ordered.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(f"{out}/blocks")
+    # a row for each shard, as many as there are partitions
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{out}/blocks")
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"), F.max("has_null").alias("has_null"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")).collect()
+    rows, base = [], 0
+    for r in sorted(shards, key=lambda r: r["shard"]):
+        rows.append((r["shard"], base, r["n_ids"], r["n_docs"], r["has_null"], r["first_key"], r["last_key"]))
+        base += r["n_ids"]
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.parquet(f"{out}/manifest")
 
 
 # --------------------------------------------------------------------------- reading
@@ -209,15 +290,14 @@ class Block:
         self.n = row["n_docs"]
         self.keys = np.frombuffer(row["keys"], "<i8")
         self.nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=self.n).astype(bool)
-        self.sizes = row["level_bits"]
-        self.bits = np.unpackbits(np.frombuffer(row["levels"], np.uint8), count=sum(self.sizes)).astype(bool)
+        self.levels = Levels(row["levels"], row["level_bits"], row["ranks"])
         self.offsets, self.lengths = np.frombuffer(row["slots_offset"], "<u8"), np.frombuffer(row["slots_length"], "<u4")
         self.prints = np.frombuffer(row["fingerprints"], "<u4")
         self.payload = np.frombuffer(row["payload"], f"<u{row['id_bytes']}")
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slots of key hashes, -1 where the index or the fingerprint says no."""
-        slot = slots(h, self.bits, self.sizes)
+        slot = self.levels.slots(h)
         ok = slot >= 0
         ok[ok] = self.prints[slot[ok]] == fingerprints(h[ok])
         return np.where(ok, slot, -1)
@@ -260,36 +340,40 @@ def _read(keys: list[int | None] | None):
     return run
 
 
-def _with_base(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks with the number of ids before them: summed over shards (a row for each shard at the driver), then within a shard."""
-    from pyspark.sql import Window
-
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    starts, total = {}, 0
-    for row in sizes:
-        starts[row["shard"]] = total
-        total += row["n"]
-    heads = spark.createDataFrame([(k, v) for k, v in starts.items()], "shard int, before long")
-    inner = blocks.select("shard", "block", "n_ids").withColumn("base", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))
-    index = inner.join(F.broadcast(heads), "shard").select("shard", "block", (F.col("base") + F.col("before")).alias("base"))
-    # the index has a row for each block of half a million ids; hash-joined, so payloads are neither sorted nor collected
-    return blocks.hint("shuffle_hash").join(index, ["shard", "block"]) if index_is_large(sizes) else blocks.join(F.broadcast(index), ["shard", "block"])
-
-
-def index_is_large(sizes: list) -> bool:
-    """Whether the block index may pass about a million rows of 24 bytes, so that it isn't broadcast."""
-    return sum(r["n"] for r in sizes) // BLOCK_IDS + 2 * len(sizes) > 1_000_000
+def _blocks(spark: SparkSession, path: str, chosen: Column | None = None) -> DataFrame:
+    """Blocks with the number of ids before them in all files. The manifest, a row for each shard, is broadcast."""
+    manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").select("shard", F.col("base").alias("shard_base"))
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    blocks = blocks if chosen is None else blocks.where(chosen)
+    return blocks.join(F.broadcast(manifest), "shard").withColumn("base", F.col("shard_base") + F.col("before")).drop("shard_base")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files through the index: doc_id, shard, block, start (ids before it in all files), ids (32-bit)."""
-    return _with_base(spark, path).mapInArrow(_read(None), READ_SCHEMA)
+    return _blocks(spark, path).mapInArrow(_read(None), READ_SCHEMA)
+
+
+def blocks_of(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
+    """The blocks whose range of keys holds one of the keys: shards by the manifest, then row groups by their statistics."""
+    real = sorted({k for k in keys if k is not None})
+    null = any(k is None for k in keys)
+    shards = [
+        r["shard"] for r in spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").toLocalIterator()
+        if null and r["has_null"] or r["first_key"] is not None and bisect_left(real, r["first_key"]) < bisect_right(real, r["last_key"])
+    ]
+    # the filter on keys is cut to ranges, so that its length doesn't follow their number
+    step = max(1, -(-len(real) // 64))
+    ranges = [(real[i], real[min(i + step, len(real)) - 1]) for i in range(0, len(real), step)]
+    hit = F.lit(False)
+    for lo, hi in ranges:
+        hit = hit | ((F.col("first_key") <= hi) & (F.col("last_key") >= lo))
+    hit = hit | F.col("has_null") if null else hit
+    return _blocks(spark, path, F.col("shard").isin(shards) & hit)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
     """The chosen documents (first of each key in its block), by their keys."""
-    return _with_base(spark, path).mapInArrow(_read(list(keys)), READ_SCHEMA)
+    return blocks_of(spark, path, keys).mapInArrow(_read(list(keys)), READ_SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
