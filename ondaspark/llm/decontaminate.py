@@ -9,7 +9,9 @@ counts, the hit items, and can drop the document or cut the hit spans.
 
 Bounds: the hash set is broadcast only while the benchmark has at most
 ``MAX_BROADCAST_WORDS`` words; a larger benchmark is cut into item blocks of
-that size, each broadcast for one scan, so memory never follows its size.
+that size (a larger item is a block of its own), each read, broadcast, scanned
+with and given up before the next, so memory follows the block, not the
+benchmark. Results don't depend on the blocks: their hits are united.
 
 Defined cases: null or empty text has no words and no hits; an item without
 words matches nothing; repeated items all count as hit; repeated doc_ids are
@@ -21,9 +23,11 @@ are ignored by ``scan``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -96,8 +100,9 @@ class WindowSet:
         return hit, items
 
 
-def _scanner(windows: WindowSet, with_spans: bool):
+def _scanner(shared: Broadcast, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = shared.value
         number = windows.numbers.get
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "items", "spans")}
@@ -148,26 +153,31 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_spans: bool = False, block_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items (sorted as strings), spans (code points, if asked for; touching runs of one block merged)."""
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    blocks = [WindowSet(items, width) for items in _blocks(benchmark, block_words)] or [WindowSet([], width)]
-    if len(blocks) == 1:
-        bounded_batches(source.sparkSession)
-        return source.mapInArrow(_scanner(blocks[0], with_spans), SCAN_SCHEMA)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    blocks = _blocks(benchmark, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_scanner(spark.sparkContext.broadcast(WindowSet(first, width)), with_spans), SCAN_SCHEMA)
     # More than one block: hit words must be united, so every block's scan returns word positions by way of spans.
     keyed = materialise(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    source = keyed.select(F.col("row").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     parts = None
-    for windows in blocks:
-        one = keyed.select(F.col("row").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_scanner(windows, True), SCAN_SCHEMA)
+    for items in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(WindowSet(items, width))
+        one = materialise(source.mapInArrow(_scanner(shared, True), SCAN_SCHEMA).where("n_hit > 0").select("doc_id", "items", "spans"))
+        shared.destroy()
         parts = one if parts is None else parts.unionByName(one)
-    per_row = parts.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    united = keyed.join(per_row, "row").select("doc_id", F.col("text").cast("binary").alias("text"), "n_words", "items", "spans")
+    per_row = parts.groupBy(F.col("doc_id").alias("row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    united = keyed.join(per_row, "row", "left").select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
     return united.mapInArrow(_uniter, SCAN_SCHEMA)
 
 
 def _uniter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_hit, spans = [], []
+        n_words, n_hit, spans = [], [], []
         for text, found in zip(binary_column(batch, "text"), batch.column("spans").to_pylist(), strict=True):
+            n_words.append(len(words_of(text.as_py())))
             data = text.as_py().decode("utf-8", "replace")
             merged: list[list[int]] = []
             for s in sorted((x["start"], x["end"]) for x in found or []):
@@ -177,7 +187,7 @@ def _uniter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     merged.append(list(s))
             n_hit.append(sum(len(words_of(data[a:b].encode())) for a, b in merged))
             spans.append([{"start": a, "end": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def contaminated() -> F.Column:
@@ -185,24 +195,28 @@ def contaminated() -> F.Column:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents") -> DataFrame:
-    """docs (all columns) without contaminated documents, or (mode ``spans``) with every hit span cut from the text.
+    """docs (all columns) without contaminated documents, or (mode ``any``) without documents that hold any hit, or (mode ``spans``) with every hit span cut from the text.
 
     Rows carry their hits, so they need no key and keep their columns. Each
     block of a benchmark but the last adds its hits to those of the blocks
     before; the last one's scan decides and cuts on the hits of all.
     """
-    schema, marks, scratch, last = docs.schema, "hit", [], None
+    if mode not in ("documents", "any", "spans"):
+        raise ValueError(f"no mode {mode!r}")
+    spark, schema, marks, scratch, last = docs.sparkSession, docs.schema, "hit", [], None
     while marks in {c.lower() for c in docs.columns}:
         marks = "_" + marks
-    bounded_batches(docs.sparkSession)
+    bounded_batches(spark)
     for items in _blocks(benchmark, MAX_BROADCAST_WORDS):
         if last is not None:
             before, scratch = scratch, []
             marked = StructType([*schema.fields, StructField(marks, BinaryType())])
-            docs = materialise(docs.mapInArrow(_marker(WindowSet(last, WIDTH), schema.names, marks), marked), scratch)
-            delete_paths(docs.sparkSession, before)
+            shared = spark.sparkContext.broadcast(WindowSet(last, WIDTH))
+            docs = materialise(docs.mapInArrow(_marker(shared, schema.names, marks), marked), scratch)
+            shared.destroy()
+            delete_paths(spark, before)
         last = items
-    return docs if last is None else docs.mapInArrow(_remover(WindowSet(last, WIDTH), schema.names, mode, marks), schema)
+    return docs if last is None else docs.mapInArrow(_remover(spark.sparkContext.broadcast(WindowSet(last, WIDTH)), schema.names, mode, marks), schema)
 
 
 def _hits(batch: pa.RecordBatch, windows: WindowSet, marks: str) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -218,22 +232,22 @@ def _hits(batch: pa.RecordBatch, windows: WindowSet, marks: str) -> Iterator[tup
         yield text, hit
 
 
-def _marker(windows: WindowSet, names: list[str], marks: str):
+def _marker(shared: Broadcast, names: list[str], marks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([np.packbits(hit).tobytes() for _, hit in _hits(batch, windows, marks)], pa.binary())
+            found = pa.array([np.packbits(hit).tobytes() for _, hit in _hits(batch, shared.value, marks)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], found], names=[*names, marks])
 
     return run
 
 
-def _remover(windows: WindowSet, names: list[str], mode: str, marks: str):
+def _remover(shared: Broadcast, names: list[str], mode: str, marks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts = [], []
-            for text, hit in _hits(batch, windows, marks):
+            for text, hit in _hits(batch, shared.value, marks):
                 n = int(hit.sum())
-                keep.append(not (n and RATIO * n >= len(hit)) or mode == "spans")
+                keep.append(mode == "spans" or not n or mode == "documents" and RATIO * n < len(hit))
                 if n and mode == "spans":
                     whole = text.decode()
                     for s in reversed(_spans(text, hit)):
