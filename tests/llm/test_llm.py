@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ondaspark.llm import byte_bpe, decontaminate, jaccard_join, kd_sharding, language_id, language_model, pii, quality_rules, suffix_dedup, token_files
 
@@ -50,7 +52,7 @@ def test_bpe_and_token_files(spark, texts, tmp_path):
         assert got[i]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and got[i]["n_tokens"] == len(ids)
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     tok = Tokenizer.from_file(token_files.tokenizer_path())
-    tok.encode_special_tokens = True
+    assert 50256 in tok.encode(texts[6], add_special_tokens=False).ids
     out = f"file://{tmp_path}/tokens"
     token_files.write(docs, out, block_ids=500)
     got, start = rows(token_files.read(spark, out)), 0
@@ -59,13 +61,28 @@ def test_bpe_and_token_files(spark, texts, tmp_path):
         assert got[i]["start"] == start and bytes(got[i]["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
         start += len(ids)
     assert set(rows(token_files.lookup(spark, out, [3, 40, 999, None]))) == {3, 40}
+    opened, all_ = (df.select("shard", "block").distinct().count() for df in (token_files.blocks_of(spark, out, [40]), spark.read.parquet(f"{out}/blocks")))
+    assert opened == 1 < all_ and rows(token_files.lookup(spark, out, [40]))[40] == got[40]
 
 
 def test_perfect_hash_is_minimal():
     keys = np.arange(5000)
     h = token_files.key_hashes(keys, np.zeros(5000, bool))
     bits, sizes, slot = token_files.build(h)
-    assert sorted(slot) == list(range(5000)) and (token_files.slots(h, bits, sizes) == slot).all()
+    packed, ranks = token_files.Levels.pack(bits)
+    assert sorted(slot) == list(range(5000)) and (token_files.Levels(packed, sizes, ranks).slots(h) == slot).all()
+
+
+@given(st.lists(st.text(st.sampled_from("ab1 9'.,s\n\t\u00a0\u00e9\u00df\u65e5\u0301\u00b2<|>endoftx"), max_size=30), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_pieces_encode_as_the_library_does(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.tokenizer_path())
+    texts = [*texts, "a <|endoftext|> b", "it's don'T 'tis x.\nY  z "]
+    encode, _ = token_files.encoder(token_files.tokenizer_path())
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_quality_counts(spark, texts):
@@ -161,6 +178,7 @@ def test_decontamination(spark, texts):
     kept = {r["doc_id"] for r in decontaminate.remove(docs, items).collect()}
     assert kept == {k for k, v in want.items() if not (v["n_hit"] and 20 * v["n_hit"] >= v["n_words"])}
     assert rows(decontaminate.remove(docs, items, "spans"))[4]["text"] == ""
+    assert set(rows(decontaminate.remove(docs, items, "any"))) == {k for k, v in want.items() if not v["n_hit"]}
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 3])
@@ -221,6 +239,28 @@ def test_language_id(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and 0 <= got[3]["score"] <= 1
 
 
+def test_kernel_ridge_and_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANDMARKS", 7)
+    monkeypatch.setattr(language_id, "FIT_BATCH", 4)
+    r = random.Random(4)
+    rare = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(i, "".join(r.choice(a) for _ in range(30)), k) for i in range(60) for k, a in [("x", "abcd"), ("y", "defg"), ("z", "hijk")][: 3 if i == rare else 2]] * 2, "doc_id long, text string, lang string")
+    langs, packed = language_id.training_rows(docs)
+    assert set(langs) == {"x", "y", "z"} and len(langs) == 1 + 2 * sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    names, matrix = language_id.fit(langs, packed)
+    # dense kernel ridge regression in the span of the landmarks, from the kernel alone
+    x = np.unpackbits(packed, axis=1).astype(float)
+    kernel = (x @ x.T) / np.sqrt(np.outer(x.sum(1), x.sum(1)))
+    order = sorted(range(len(langs)), key=lambda i: (langs[:i].count(langs[i]), i))[:7]
+    y = np.array([[1.0 if l == n else -1.0 for n in names] for l in langs])
+    k = kernel[:, order]
+    dual = np.linalg.solve(k.T @ k + len(langs) * (language_id.RIDGE * kernel[np.ix_(order, order)] + 1e-6 * np.eye(7)), k.T @ y)
+    assert (x @ matrix) / np.sqrt(x.sum(1))[:, None] == pytest.approx(k @ dual, abs=1e-3)
+    # places are those of the n-grams' presence
+    grams = {g for t in ["Abca"] for n in (1, 2, 3) for g in [t.lower()[i : i + n] for i in range(len(t) - n + 1)]}
+    assert len({int(p) for at in language_id.places(np.frombuffer(b"Abca", np.uint8)) for p in at}) == len(grams)
+
+
 def test_language_model(spark, texts):
     from collections import Counter
     from math import log10
