@@ -5,12 +5,15 @@ sets with Jaccard similarity of at least t differ in at most
 k = (1 - t) / (1 + t) * (sum of their sizes) features. Sizes are cut into
 bands so that similar sets stand in the same or in neighbouring bands; a set
 gives signatures for its own band and the next. In a band, the feature domain
-is cut into partitions and subsets of them are enumerated so that any two sets
-within distance k agree on one whole subset: either n2 = k + 3 partitions and
-all subsets of three (k up to 4), or k + 1 partitions and more, each a subset of
-its own. Agreement on a subset that is empty in both sets says nothing, so
-bands have ``slack`` partitions beyond k + 1 and only the few sets with more
-empty partitions than that also give signatures for those.
+is cut into n1 partitions and each of these into n2; k2 is chosen so that of
+n1 partitions one at least holds no more than k2 of the k differences. There,
+n2 - k2 of the n2 parts are equal in both sets, so the enumerated subsets of
+that many parts, a signature each, must meet. ``layout`` takes the n1, n2 and
+k2 whose subsets hold the most features, so that the fewest unlike sets meet,
+within SIGNATURES for each feature. Agreement on a subset that is empty in both
+sets says nothing, so bands have ``slack`` partitions more and only the few
+sets with more partitions of empty subsets than that also give signatures for
+those.
 
 Sets that are equal are one entity throughout (its fingerprint), so copies
 cost a row each. In a signature group every member is first compared with the
@@ -21,7 +24,9 @@ different classes are untested. So classes are exact and no group emits all
 its pairs. Candidates first meet in a parity bitmap, where each feature flips
 one of 512 bits: two bitmaps differ in at most as many bits as the sets in
 features, so pairs whose bitmaps differ in more than the sizes allow can't be
-similar, and the join that proposes pairs leaves them out. What remains is
+similar, and the join that proposes pairs leaves them out. The rest meets in a
+larger bitmap of a bit or two for each feature, which leaves out nearly all
+pairs that aren't similar at a 64th of the bytes of the sets; what remains is
 verified on the whole sets.
 
 Defined cases: a null or empty text has no shingle and is linked with nothing
@@ -37,8 +42,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
-from math import ceil, exp
+from itertools import combinations, product
+from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +56,15 @@ from .components import components
 WORDS = 4
 #: Similarity of a link, in percent.
 PERCENT = 85
-#: Distances up to this enumerate subsets of three of k + 3 partitions.
-ENUMERATED_K = 4
+#: Signatures for each feature of the smallest sets of a band, at most; bands of short sets, for which this is too few, take the fewest.
+SIGNATURES = 0.42
+#: Share of a band's smallest sets, at most, that need signatures for empty subsets.
+MAX_THIN = 0.01
+#: Most signatures from one partition of the first level.
+MAX_SUBSETS = 500
 #: After the leader, one member of a signature group is compared with the rest; each further round takes so many times more.
 LEADERS = 8
-#: 64-bit words of an entity's parity bitmap; a power of two.
+#: 64-bit words of an entity's small parity bitmap; a power of two.
 BITMAP_WORDS = 8
 #: Fingerprints that a worker remembers, so as not to repeat the signatures of copies.
 SEEN = 200_000
@@ -86,9 +95,14 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """BITMAP_WORDS 64-bit words: bit i is the parity of the number of features that are dealt to i."""
-    bits = 64 * BITMAP_WORDS
-    return np.packbits(np.bincount(((s * _C2) >> U(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1).view(np.int64)
+    """Bytes of parities: bit i tells whether an odd number of features is dealt to i. A power of two bits, as many as features or more."""
+    bits = max(64 * BITMAP_WORDS, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount(((s * _C2) >> U(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1)
+
+
+def folded(m: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of size bytes of the same features."""
+    return m if len(m) == size else np.bitwise_xor.reduce(m.reshape(-1, size))
 
 
 @lru_cache(maxsize=100_000)
@@ -110,21 +124,59 @@ def band_top(i: int, percent: int) -> int:
     return max(low, low * 100 // percent)
 
 
+def _more_than(n: int, p: float, least: int) -> float:
+    """The probability of more than least of n events of probability p."""
+    if p >= 1:
+        return float(n > least)
+    return max(0.0, 1 - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least + 1)))
+
+
 @lru_cache(maxsize=100_000)
-def layout(i: int, percent: int) -> tuple[int, int, int]:
-    """(k, partitions, slack) of band i."""
+def layout(i: int, percent: int) -> tuple[int, int, int, int, int]:
+    """(k, n1, n2, k2, slack) of band i: those of fewest signatures. Beyond a distance of 64 the shares are those of 64."""
     top = band_top(i, percent)
     k = 2 * top * (100 - percent) // (100 + percent)
-    if k <= ENUMERATED_K:
-        return k, k + 3, 0
-    load = top * percent * percent / 10_000 / (k + 1)  # features in a partition of the smallest set that signs here
-    slack = ceil(2 * (k + 1) * exp(-load)) + 2
-    return k, k + 1 + slack, slack
+    if k == 0:
+        return 0, 0, 0, 0, 0
+    if k > 64:
+        _, n1, n2, k2, slack = layout(_band_of_distance(64, percent), percent)
+        spare = ceil(slack * (k + 1) / 65)
+        return k, k // (k2 + 1) + 1 + spare, n2, k2, spare
+    least = top * percent * percent / 10_000  # features of the smallest set that signs here
+    found = []
+    for k2, chosen in product(range(k + 1), range(1, 5)):
+        n2, slacks = k2 + chosen, range(1 if k2 == k else k // (k2 + 1) + 2)
+        if comb(n2, chosen) > MAX_SUBSETS:
+            continue
+        for slack in slacks:
+            n1 = k // (k2 + 1) + 1 + slack
+            features = least * chosen / n2 / n1
+            if _more_than(n1, comb(n2, chosen) * exp(-features), slack) <= MAX_THIN:
+                found.append((n1 * comb(n2, chosen), features, (k, n1, n2, k2, slack)))
+                break
+    few = [x for x in found if x[0] <= SIGNATURES * least]
+    if few:
+        return max(few, key=lambda x: x[1])[2]
+    return min(found)[2] if found else (k, 1, k + 3, k, 0)
+
+
+@lru_cache(maxsize=64)
+def _band_of_distance(k: int, percent: int) -> int:
+    """The last band whose distance is at most k."""
+    i = 0
+    while 2 * band_top(i + 1, percent) * (100 - percent) // (100 + percent) <= k:
+        i += 1
+    return i
 
 
 @lru_cache(maxsize=64)
-def subsets(n: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), 3)), np.int64)
+def subsets(n2: int, k2: int) -> np.ndarray:
+    """Which of n2 parts each subset holds, as rows of zeros and ones."""
+    chosen = list(combinations(range(n2), n2 - k2))
+    out = np.zeros((len(chosen), n2), U)
+    for row, c in zip(out, chosen, strict=True):
+        row[list(c)] = 1
+    return out
 
 
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -133,24 +185,20 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     own = band(len(s), percent)
     mixed = mix(s * _C1)
     for i in (own, own + 1):
-        k, n, slack = layout(i, percent)
+        k, n1, n2, k2, slack = layout(i, percent)
         if k == 0:
             continue  # within distance 0 sets are equal, and equal sets are one entity
-        part = ((s >> U(32)) * U(n) >> U(32)).astype(np.int64)  # monotone in s, so partitions are runs
+        part = ((s >> U(32)) * U(n1 * n2) >> U(32)).astype(np.int64)  # monotone in s, so parts are runs
         head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mixed, head)
-        at = part[head]
-        if k <= ENUMERATED_K:
-            whole = np.zeros(n, U)
-            whole[at] = sums
-            chosen = subsets(n)
-            out.append(mix(whole[chosen].sum(axis=1, dtype=U) + (np.arange(len(chosen)).astype(U) + U(1)) * _C1 + U(i) * _C2))
-        else:
-            out.append(mix(sums + (at.astype(U) + U(1)) * _C1 + U(i) * _C2))
-            if n - len(at) > slack:
-                empty = np.ones(n, bool)
-                empty[at] = False
-                out.append(mix((np.flatnonzero(empty).astype(U) + U(1)) * _C1 + U(i) * _C2 + _EMPTY))
+        sums, some = np.zeros(n1 * n2, U), np.zeros(n1 * n2, U)
+        sums[part[head]], some[part[head]] = np.add.reduceat(mixed, head), 1
+        chosen = subsets(n2, k2).T
+        filled = (some.reshape(n1, n2) @ chosen) > 0
+        place = np.arange(filled.size).reshape(filled.shape).astype(U)
+        whole = mix((sums.reshape(n1, n2) @ chosen) + (place + U(1)) * _C1 + U(i) * _C2)
+        out.append(whole[filled])
+        if (~filled.all(axis=1)).sum() > slack:
+            out.append(mix((place[~filled] + U(1)) * _C1 + U(i) * _C2 + _EMPTY))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -198,34 +246,51 @@ def _no_id():
     return F.lit(-(1 << 63)).cast("long")
 
 
-def _sets(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(fp, set, n, w0, w1 ...) of the entities in reps(fp, rep): features, their number, and the bitmap. A filter of fixed size spares most other documents; the exact join removes the rest."""
-    wanted = reps.select("fp", F.coalesce("rep", _no_id()).alias("rep"))
-    bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.col("fp").bitwiseXOR(F.col("rep")).alias("k")), "k"))
+def _of_entities(texts: DataFrame, wanted: DataFrame, words: int, describe, schema: str) -> DataFrame:
+    """fp, then what describe gives of the set, in schema, of each entity in wanted(fp, rep).
 
-    def out(rows: list[tuple[int, int, bytes]], maps: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(w) for w in np.stack(maps, axis=1)], names=["fp", "rep", "set", *_BITMAP])
+    Texts are cut into shingles only if a filter of fixed size may hold their
+    doc_id; an exact join removes the rest before anything else is done.
+    """
+    bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.xxhash64("rep").alias("k")), "k"))
+    names = ["rep", "fp", *(c.split(" ")[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("rep").to_numpy()
-            rows, maps, size = [], [], 0
-            for i, s in enumerate(shingle_sets(binary_column(batch, "text"), words)):
-                fp = fingerprint(s)
-                if len(s) and in_bloom(np.array([fp ^ int(ids[i])]), bloom.value)[0]:
-                    rows.append((fp, int(ids[i]), s.tobytes()))
-                    maps.append(bitmap(s))
+            batch = batch.filter(pa.array(in_bloom(batch.column("k").to_numpy(), bloom.value)))
+            ids, rows, size = batch.column("rep").to_pylist(), [], 0
+            for rep, s in zip(ids, shingle_sets(binary_column(batch, "text"), words), strict=True):
+                if len(s):
+                    rows.append((rep, fingerprint(s), *describe(s)))
                     size += s.nbytes
                     if size > 1 << 22:
-                        yield out(rows, maps)
-                        rows, maps, size = [], [], 0
+                        yield out(rows)
+                        rows, size = [], 0
             if rows:
-                yield out(rows, maps)
+                yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if isinstance(x[0], bytes) else pa.int64()) for x in zip(*rows, strict=True)], names=names)
 
-    schema = "fp long, rep long, set binary, " + ", ".join(f"{w} long" for w in _BITMAP)
-    found = texts.select(F.coalesce("doc_id", _no_id()).alias("rep"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-    return found.join(wanted, ["fp", "rep"], "left_semi").select("fp", "set", (F.octet_length("set") / 8).cast("long").alias("n"), *_BITMAP)
+    rep = F.coalesce("doc_id", _no_id())
+    found = texts.select(rep.alias("rep"), F.xxhash64(rep).alias("k"), "text").mapInArrow(run, f"rep long, fp long, {schema}")
+    # rows that repeat doc_id and text give the same
+    return found.join(wanted, ["fp", "rep"], "left_semi").groupBy("fp").agg(*[F.any_value(c).alias(c) for c in names[2:]])
+
+
+def _maps(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(fp, n, map, w0, w1 ...): number of features, bitmap and small bitmap."""
+
+    def describe(s: np.ndarray) -> tuple:
+        m = bitmap(s)
+        return len(s), m.tobytes(), *folded(m, 8 * BITMAP_WORDS).view(np.int64).tolist()
+
+    return _of_entities(texts, wanted, words, describe, "n long, map binary, " + ", ".join(f"{w} long" for w in _BITMAP))
+
+
+def _entities(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(fp, rep) of the entities in pairs."""
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
 
 
 _BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
@@ -251,20 +316,35 @@ def similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _check(percent: int):
+def may_be_similar(a: bytes, b: bytes, n: int, percent: int) -> bool:
+    """Whether bitmaps allow that sets of n features together are similar; true of all that are."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return (100 + percent) * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (100 - percent) * n
+
+
+def _check(test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similar(x.as_py(), y.as_py(), percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+            ok = [test(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column("x_a"), batch.column("x_b"), batch.column("n").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of entities whose sets are similar."""
-    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_check(percent), "a long, b long").distinct()
+def _checked(pairs: DataFrame, sides: DataFrame, column: str, n, test) -> DataFrame:
+    """The pairs (a, b) for which test holds of the column in sides(fp, column) and n."""
+    one = lambda side: sides.select(F.col("fp").alias(side), F.col(column).alias(f"x_{side}"), n.alias(f"n_{side}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "x_a", "x_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return both.mapInArrow(_check(test), "a long, b long")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, maps: DataFrame, words: int, percent: int, scratch: list[str]) -> DataFrame:
+    """The distinct pairs (a, b) of entities whose sets are similar: bitmaps leave out nearly all others, so few sets are made."""
+    close = materialise(_checked(pairs, maps, "map", F.col("n"), lambda x, y, n: may_be_similar(x, y, n, percent)).distinct(), scratch)
+    wanted = materialise(_entities(close, reps), scratch)
+    sets = materialise(_of_entities(texts, wanted, words, lambda s: (s.tobytes(),), "set binary"), scratch)
+    return materialise(_checked(close, sets, "set", F.lit(0), lambda x, y, _: similar(x, y, percent)), scratch)
 
 
 # --------------------------------------------------------------------------- the join
@@ -281,21 +361,17 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
     scratch = [] if scratch is None else scratch
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     members = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, fp long"))
-    reps = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = members.where("n_shingles > 0").groupBy("fp").agg(F.coalesce(F.min("doc_id"), _no_id()).alias("rep"))
 
     by_sig = Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)
     signed_ = texts.select("text").mapInArrow(_sign(words, percent), "sig long, fp long")
     groups = materialise(signed_.withColumn("leader", F.first("fp").over(by_sig)).where("leader <> fp").distinct(), scratch)
 
     pairs = materialise(groups.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), scratch)
-    entities = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialise(entities.join(reps, "fp"), scratch)
-    sets = materialise(_sets(texts, wanted, words), scratch)
-    if sets.count() > wanted.count():  # rows that repeat doc_id and text
-        sets = materialise(sets.dropDuplicates(["fp"]), scratch)
-    sized = sets.select("fp", "n", *_BITMAP)
+    maps = materialise(_maps(texts, materialise(_entities(pairs, reps), scratch), words), scratch)
+    sized = maps.select("fp", "n", *_BITMAP)
     near = pairs.join(_side(sized, "a"), "a").join(_side(sized, "b"), "b").where(_may_be_similar(percent)).select("a", "b")
-    found = materialise(_verify(near, sets, percent), scratch)
+    found = _verify(near, texts, reps, maps, words, percent, scratch)
     # members of groups that the leader leaves in several classes
     label = components(found, scratch=scratch)
     named = lambda df, c, as_: df.join(label.select(F.col("node").alias(c), F.col("label").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
@@ -313,7 +389,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
         y = _side(rows.where(F.col("rank") > first), "b", "sig", "leader", F.col("class").alias("class_b"), "rank")
         more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & _may_be_similar(percent))
         more = more.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))  # compared already
-        new = materialise(_verify(materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), scratch), sets, percent), scratch)
+        new = _verify(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, reps, maps, words, percent, scratch)
         if not new.isEmpty():
             found = materialise(found.union(new).distinct(), scratch)
             label = components(found, scratch=scratch)
