@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 #: Ids are kept for twice as many pieces at most in each worker.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 
 #: White space other than space and line feed.
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

@@ -67,7 +67,7 @@ _PLAIN = re.compile(" [!-~\u00a1-\u024f](?:[\n!-~\u00a1-\u024f]*[!-~\u00a1-\u024
 #: Fixed value: the library's byte-level pattern.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker remembers.
-CACHE_TOKENS = 250_000
+CACHE_TOKENS = 400_000
 
 
 class PieceEncoder:
