@@ -18,9 +18,9 @@ def grid(lo: float, hi: float, out_freq: float, distrust: float) -> tuple[int, i
     return ceil((lo + distrust) * out_freq), floor((hi - distrust) * out_freq)
 
 
-def resample(signal: Signal, out_freq: float, distrust: float = 0.0) -> Signal:
-    """Packed resampling: every channel stays in its row, so nothing is shuffled but the two bounds."""
-    bounds = signal.bounds()
+def resample(signal: Signal, out_freq: float, distrust: float = 0.0, bounds: tuple[float, float] | None = None) -> Signal:
+    """Packed resampling: every channel stays in its row, so nothing is shuffled but the two bounds (found here unless they are given)."""
+    bounds = bounds or signal.bounds()
     first, last = grid(*bounds, out_freq, distrust) if bounds else (0, -1)
     ks = F.sequence(F.lit(first), F.lit(last)) if last >= first else F.array().cast("array<int>")
     top = F.size("x") - 2
@@ -68,8 +68,8 @@ def kernel(signal: Signal, function) -> Signal:
 
 
 def process(signal: Signal, function, out_freq: float, distrust: float) -> Signal:
-    """A kernel on whole channels, then resampling with the distrusted edges left out."""
-    return resample(kernel(signal, function), out_freq, distrust)
+    """A kernel on whole channels, then resampling with the distrusted edges left out. The kernel keeps times, so bounds are those of its input, for which it need not run."""
+    return resample(kernel(signal, function), out_freq, distrust, signal.bounds())
 
 
 def filtered(signal: Signal, design: Filter) -> Signal:

@@ -108,7 +108,7 @@ class Task:
 
 
 class Scheduler:
-    """At most max_running jobs at once, each a Spark job group of its own under the FAIR pool named like it."""
+    """At most max_running jobs at once, each a Spark job group of its own. Where the application runs with spark.scheduler.mode=FAIR, each also has a pool of its own."""
 
     supported = (CallableJob, DataFrameJob)
 

@@ -7,6 +7,9 @@ to six places; adding 0 turns a negative zero.
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -19,10 +22,12 @@ from ..operators import resample as rs
 from ..operators import signal as sg
 from ..operators import spectral as sp
 from ..sources import blocks, channels, dictlog
+from ..sources.logdb import LogDB
 
 FS = 64.0
 LOW, BAND = Lowpass(25.0), Bandpass(25.0, 30.0)
-START, HOURS = "2024-01-01 00:00:00", 720
+#: Times of the channel table count from here.
+START = "2024-01-01 00:00:00"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -110,11 +115,15 @@ def signal_pack_stats(spark, sf_dir):
 
 
 def hourly(spark, sf_dir):
-    return channels.regular_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", 3600, START, HOURS)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    edge = events.agg(F.min(hour).alias("a"), ((F.max(F.unix_seconds(hour)) - F.min(F.unix_seconds(hour))) / 3600 + 1).cast("int").alias("n")).first()  # the whole table's hours
+    return channels.regular_counts(events, "event_type", "ts", "value", 3600, edge["a"], edge["n"] or 0)
 
 
-@query("events_hourly_signal", f"""WITH e AS (SELECT event_type, CAST(floor(date_diff('microsecond', TIMESTAMP '{START}', ts) / 3600000000) AS BIGINT) AS i, value FROM events),
-g AS (SELECT event_type, i, sum(value) AS x FROM e GROUP BY event_type, i), cells AS (SELECT DISTINCT event_type, h.i FROM events, (SELECT unnest(range(0, {HOURS})) AS i) h)
+@query("events_hourly_signal", """WITH b AS (SELECT min(date_trunc('hour', ts)) AS a, date_diff('hour', min(date_trunc('hour', ts)), max(date_trunc('hour', ts))) AS n FROM events),
+e AS (SELECT event_type, date_diff('hour', b.a, date_trunc('hour', ts)) AS i, value FROM events, b),
+g AS (SELECT event_type, i, sum(value) AS x FROM e GROUP BY event_type, i), cells AS (SELECT DISTINCT event_type, h.i FROM events, (SELECT unnest(range(0, b.n + 1)) AS i FROM b) h)
 SELECT c.event_type AS channel, CAST(c.i AS BIGINT) AS i, round(coalesce(g.x, 0.0), 4) + 0.0 AS x FROM cells c LEFT JOIN g ON g.event_type = c.event_type AND g.i = c.i""")
 def events_hourly_signal(spark, sf_dir):
     return hourly(spark, sf_dir).select("channel", "i", r6(F.col("x"), 4).alias("x"))
@@ -151,6 +160,17 @@ def interval_intersection(spark, sf_dir):
     return adc.agg(F.max("start_t").alias("start_t"), F.bround((F.min("end_t") - F.max("start_t")) / 3600.0, 0).cast("long").alias("n"))
 
 
+@query("channel_load", f"""WITH c AS ({_CHANNELS}), d AS (SELECT * FROM c WHERE chan_type = 'Adc' AND chan_name <> 'view'), a AS (SELECT max(start_t) AS start_t, CAST(round_even((min(end_t) - max(start_t)) / 3600, 0) AS BIGINT) AS n FROM d)
+SELECT d.chan_name, CAST(s.i AS BIGINT) AS i, a.start_t + s.i * 3600.0 AS t, CAST(3600 * s.i + a.start_t AS DOUBLE) AS x FROM d, a, (SELECT unnest(range(0, a.n)) AS i FROM a) s""")
+def channel_load(spark, sf_dir):
+    """All sampled channels but one, whose samples are the ticks that they are read from."""
+    table = metadata(spark, sf_dir)
+    left_out = [r["chan_num"] for r in table.where("chan_name = 'view'").select("chan_num").collect()]
+    rows, _ = channels.load(spark, table, [..., *left_out], lambda channel, tick, count: tick + 3600.0 * np.arange(count), block=100, time_base=1.0)
+    names = table.select("chan_name", F.col("chan_num").cast("long").alias("channel"))
+    return rows.join(F.broadcast(names), "channel").select("chan_name", "i", F.round("t", 6).alias("t"), "x")
+
+
 @query("chunk_function_source", "SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, CAST(a * 100 + b AS DOUBLE) AS x FROM (SELECT unnest(range(0, 7)) AS a), (SELECT unnest(range(0, 53)) AS b)")
 def chunk_function_source(spark, sf_dir):
     return blocks.read_blocks(spark, lambda s: np.add.outer(np.arange(s[0].start, s[0].stop) * 100.0, np.arange(s[1].start, s[1].stop)), (7, 53), (2, 10))
@@ -241,8 +261,9 @@ def coherence(spark, sf_dir):
 
 def sql_resampled(out: float, distrust: float) -> str:
     first, last = rs.grid(0.0, 63 / FS, out, distrust)
-    return f"""SELECT y.channel, CAST(g.k AS BIGINT) AS k, round(g.k / {out}, 6) + 0.0 AS t, round(y.x + (coalesce(y1.x, y.x) - y.x) * (g.k / {out} * 64 - y.i), 6) + 0.0 AS x
-FROM (SELECT unnest(range({first}, {last + 1})) AS k) g JOIN y ON y.i = least(CAST(floor(g.k / {out} * 64) AS BIGINT), 63) LEFT JOIN y y1 ON y1.channel = y.channel AND y1.i = y.i + 1"""
+    return f"""SELECT p.channel, CAST(g.k AS BIGINT) AS k, round(g.k / {out}, 6) + 0.0 AS t, round(p.x + (coalesce(p.x1, p.x) - p.x) * (g.k / {out} * 64 - p.i), 6) + 0.0 AS x
+FROM (SELECT k, least(CAST(floor(k / {out} * 64) AS BIGINT), 63) AS at FROM (SELECT unnest(range({first}, {last + 1})) AS k)) g
+JOIN (SELECT channel, i, x, lead(x) OVER (PARTITION BY channel ORDER BY i) AS x1 FROM y) p ON p.i = g.at"""
 
 
 def _points(s: sg.Signal, out: float) -> DataFrame:
@@ -267,8 +288,8 @@ def _matrix(design) -> str:
 
 
 def sql_filtered(source: str, design, name: str) -> str:
-    return f"""{name}_h(i, h) AS (VALUES {_matrix(design)}), {name}_x AS (SELECT channel, list(x ORDER BY i) AS x FROM {source} GROUP BY channel),
-{name} AS (SELECT channel, CAST(i AS BIGINT) AS i, i / 64.0::DOUBLE AS t, list_dot_product(x, h::DOUBLE[]) AS x FROM {name}_x, {name}_h)"""
+    return f"""{name}_h(i, h) AS MATERIALIZED (VALUES {_matrix(design)}), {name}_x AS MATERIALIZED (SELECT channel, list(x ORDER BY i) AS x FROM {source} GROUP BY channel),
+{name} AS MATERIALIZED (SELECT channel, CAST(i AS BIGINT) AS i, i / 64.0::DOUBLE AS t, list_dot_product(x, h::DOUBLE[]) AS x FROM {name}_x, {name}_h)"""
 
 
 @query("lowpass_filtfilt", f"WITH s AS ({LONG}), {sql_filtered('s', LOW, 'y')} SELECT channel, i, {ROUND.format('t')} AS t, {ROUND.format('x')} AS x FROM y")
@@ -309,18 +330,99 @@ def kv_latest(spark, sf_dir):
     return dictlog.latest(event_log(spark, sf_dir))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder for what a query writes: in the shared one, or a local session's own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or 'file:///tmp/ondaspark-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_log(spark, sf_dir) -> str:
+    path = f"{_folder(spark, 'log')}/lines"
+    dictlog.write_log(event_log(spark, sf_dir), path)
+    return path
+
+
+@query("kv_log_replay", "SELECT CAST(user_id AS VARCHAR) AS id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def kv_log_replay(spark, sf_dir):
+    """The events as a log of JSON lines, read back and replayed."""
+    return dictlog.latest(dictlog.read_log(spark, _written_log(spark, sf_dir))).select("id", F.col("value").cast("double").alias("value"))
+
+
 @query("kv_compact", "SELECT count(*) AS n_log, CAST(count(DISTINCT user_id) AS BIGINT) AS n_keys, CAST((SELECT count(*) FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error') AS BIGINT) AS n_live FROM events")
 def kv_compact(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    last = log.groupBy("id").agg(F.count("*").alias("n"), F.max_by("deleted", "seq").alias("d"))
-    return last.agg(F.sum("n").alias("n_log"), F.count("*").alias("n_keys"), F.count_if(~F.col("d")).alias("n_live"))
+    """A log's lines and keys, and the lines that compaction leaves."""
+    path, out = _written_log(spark, sf_dir), f"{_folder(spark, 'log')}/compact"
+    dictlog.compact_log(spark, path, out)
+    before = dictlog.read_log(spark, path).agg(F.count("*").alias("n_log"), F.count_distinct("id").alias("n_keys"))
+    return before.crossJoin(dictlog.read_log(spark, out).agg(F.count("*").alias("n_live")))  # one row each
+
+
+@query("nested_log_replay", "SELECT r_name AS region, n_name AS nation, CAST(n_nationkey AS BIGINT) * 2 AS number FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0")
+def nested_log_replay(spark, sf_dir):
+    """Nations by region in a logged tree, changed and deleted, then read from the log anew. The tree is metadata of the driver."""
+    region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").orderBy("n_nationkey").limit(1000).collect()
+    with tempfile.TemporaryDirectory() as folder:
+        db = LogDB(f"{folder}/tree.jsonl", {})
+        for r in rows:
+            if r["r_name"] not in db.root:
+                db.root[r["r_name"]] = {}
+            db.root[r["r_name"]][r["n_name"]] = {"number": r["n_nationkey"]}
+        for r in rows:
+            at = db.root[r["r_name"]]
+            if r["n_nationkey"] % 5 == 0:
+                del at[r["n_name"]]
+            else:
+                at[r["n_name"]]["number"] = r["n_nationkey"] * 2
+        tree = LogDB(f"{folder}/tree.jsonl").root.plain()
+    return spark.createDataFrame([(k, n, v["number"]) for k, of in tree.items() for n, v in of.items()], "region string, nation string, number long")
+
+
+_RUNS = "SELECT 'success' AS status, CAST((SELECT count(*) FROM {0}) AS VARCHAR) AS result, true AS ordered"
+
+
+@query("run_records", " UNION ALL ".join(_RUNS.format(t) for t in ("nation", "supplier", "customer")) + " UNION ALL SELECT 'error', NULL, true UNION ALL SELECT 'lost', NULL, NULL")
+def run_records(spark, sf_dir):
+    """Runs of counting jobs, one that fails and one whose process is gone, as a later process finds them in the log."""
+    from .jobs import CallableJob, Scheduler
+
+    with tempfile.TemporaryDirectory() as folder:
+        dictlog.DictLog(f"{folder}/runs.jsonl")["gone"] = {"status": "computing", "process": 0.0, "start_time": None, "end_time": None, "result": None}
+        scheduler = Scheduler(f"{folder}/runs.jsonl", spark)
+        tasks = [scheduler.submit(CallableJob(lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count())) for t in ("nation", "supplier", "customer", "no_such_table")]
+        for t in tasks:
+            t.wait()
+        scheduler.close()
+        found = Scheduler(f"{folder}/runs.jsonl", spark).runs(spark)
+        return found.select("status", F.when(F.col("status") == "success", F.col("result")).alias("result"), (F.col("start_time") <= F.col("end_time")).alias("ordered"))
+
+
+@query("registry_status", "SELECT * FROM (VALUES ('good', 'parquet', 'success', (SELECT count(*) FROM nation)), ('bad', 'parquet', 'error', 0), ('idle', 'parquet', 'created', 0)) v(id, kind, status, n_rows)")
+def registry_status(spark, sf_dir):
+    """Checkpoints of a registry: one computed, one whose producer fails, one never asked for; rows of what was published."""
+    from .checkpoint import Registry
+
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+
+    def fail():
+        raise RuntimeError("no such data")
+
+    with tempfile.TemporaryDirectory() as folder:
+        registry = Registry(spark, _folder(spark, "registry"), f"{folder}/registry.jsonl")
+        for id, f in (("good", lambda: nation), ("bad", fail), ("idle", lambda: nation)):
+            registry.create("parquet", id, f)
+        registry.compute("good")
+        with contextlib.suppress(RuntimeError):
+            registry.compute("bad")
+        status = registry.status()
+        n = [(id, c.load().count() if c.has_result() else 0) for id, c in registry.created.items()]
+    return status.join(spark.createDataFrame(n, "id string, n_rows long"), "id").select("id", "kind", "status", "n_rows")
 
 
 @query("checkpoint_roundtrip", ORACLES["welch_power"])
 def checkpoint_roundtrip(spark, sf_dir):
-    import uuid
-
     from .checkpoint import ParquetCheckpoint
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ondaspark-checkpoints"
-    return ParquetCheckpoint(spark, f"{base.rstrip('/')}/welch-{uuid.uuid4().hex}", lambda: welch_power(spark, sf_dir), dims=("channel", "f", "freq"), fs=FS).compute()
+    return ParquetCheckpoint(spark, _folder(spark, "welch"), lambda: welch_power(spark, sf_dir), dims=("channel", "f", "freq"), fs=FS).compute()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -66,8 +67,10 @@ class _BlockReader(DataSourceReader):
         x = np.memmap(self.path, "<f8", "r", shape=(self.channels, self.samples))[partition.channel, partition.lo : partition.hi]
         if len(x) != partition.hi - partition.lo:
             raise ValueError("smaller block than asked for")
-        for i, v in enumerate(x):
-            yield partition.channel, partition.lo + i, float(v)
+        for at in range(0, len(x), 1 << 16):
+            part = np.array(x[at : at + (1 << 16)])
+            lo = partition.lo + at
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), partition.channel)), pa.array(np.arange(lo, lo + len(part))), pa.array(part)], names=["channel", "i", "x"])
 
 
 class RawSignalSource(DataSource):

@@ -59,11 +59,17 @@ def shared_axis(chosen: DataFrame) -> Axis | None:
     return Axis(r["fs"], r["a"], max(0, round((r["b"] - r["a"]) * r["fs"])))
 
 
-def load(spark: SparkSession, table: DataFrame, channels: list, read, block: int = BLOCK_SAMPLES) -> tuple[DataFrame, float]:
+def start_tick(first: int, start: float, time_base: float, divide: int) -> int:
+    """The tick of sample first of a time axis that begins at start, for a channel sampled every divide ticks of time_base seconds."""
+    return divide * first + round(start / time_base)
+
+
+def load(spark: SparkSession, table: DataFrame, channels: list, read, block: int = BLOCK_SAMPLES, time_base: float | None = None) -> tuple[DataFrame, float]:
     """(channel, i, t, x) rows of chosen channels and their rate.
 
     read(channel, first, count) returns count samples, called on executors for
-    each block of each channel; a wrong count raises. Unknown and repeated
+    each block of each channel; a wrong count raises. With a time_base, first
+    is the tick of the first sample, else its number. Unknown and repeated
     channel numbers raise.
     """
     named = [c for c in channels if c is not ...]
@@ -78,8 +84,10 @@ def load(spark: SparkSession, table: DataFrame, channels: list, read, block: int
     def chunk(slices):
         import numpy as np
 
-        number = numbers[slices[0].start]
-        x = np.asarray(read(number, slices[1].start, slices[1].stop - slices[1].start), float)
+        number, first = numbers[slices[0].start], slices[1].start
+        if time_base is not None:
+            first = start_tick(first, axis.start, time_base, round(1 / (axis.fs * time_base)))
+        x = np.asarray(read(number, first, slices[1].stop - slices[1].start), float)
         if len(x) != slices[1].stop - slices[1].start:
             raise ValueError(f"channel {number}: {'smaller' if len(x) < slices[1].stop - slices[1].start else 'bigger'} block than asked for")
         return x[None, :]
@@ -103,4 +111,4 @@ def regular_counts(events: DataFrame, channel: str, ts: str, value: str, seconds
     return cells.join(found, ["channel", "i"], "left").select("channel", "i", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-__all__ = ["CHANNEL_SCHEMA", "Axis", "blocks", "channel_table", "choose", "load", "packed_arrays", "regular_counts", "shared_axis"]
+__all__ = ["CHANNEL_SCHEMA", "Axis", "blocks", "channel_table", "choose", "load", "packed_arrays", "regular_counts", "shared_axis", "start_tick"]

@@ -57,3 +57,16 @@ def test_tapers():
     assert np.allclose(taper("hann", 4), [0, 0.5, 1, 0.5])
     with pytest.raises(ValueError):
         taper("none", 4)
+
+
+def test_all_tapers():
+    from ondaspark.functions.tapers import COSINE_SUMS, INNER_SHAPES, SHAPES
+
+    for name in (*COSINE_SUMS, *SHAPES, *INNER_SHAPES, "parzen", ("kaiser", 5.0), ("tukey", 0.3), ("gaussian", 4.0), ("general_gaussian", 1.5, 4.0), ("general_hamming", 0.6), ("general_cosine", (0.4, 0.5, 0.1)), 8.0):
+        for n in (15, 16):
+            w = taper(name, n)
+            assert len(w) == n and w.max() <= 1 + 1e-8 and w[1:] == pytest.approx(w[1:][::-1])  # periodic: symmetric but for the first value
+    assert taper("bartlett", 8) == pytest.approx(np.bartlett(9)[:-1]) and taper(("kaiser", 5.0), 9) == pytest.approx(np.kaiser(10, 5.0)[:-1])
+    assert taper("triang", 4) == pytest.approx([1 / 3, 2 / 3, 1, 2 / 3]) and taper("cosine", 3) == pytest.approx(np.sin(np.pi / 4 * (np.arange(3) + 0.5)))
+    with pytest.raises(ValueError):
+        taper("no such window", 4)
