@@ -79,7 +79,8 @@ def bloom_filter(df: DataFrame, key: str, bits: int = BLOOM_BITS) -> bytes:
     # bitmap positions count from 0 within buckets that count from 1
     parts = spot.groupBy(F.bitmap_bucket_number(F.col("s") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("s") + 1)).alias("m"))
     out = bytearray(1 << (bits - 3))
-    for row in parts.toLocalIterator():
+    # in one job: toLocalIterator() would run one for each partition
+    for row in parts.collect():
         at = (row["b"] - 1) * 4096
         out[at : at + 4096] = bytes(row["m"])
     return bytes(out)

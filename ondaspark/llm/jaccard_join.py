@@ -340,8 +340,10 @@ def _checked(pairs: DataFrame, sides: DataFrame, column: str, n, test) -> DataFr
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, maps: DataFrame, words: int, percent: int, scratch: list[str]) -> DataFrame:
-    """The distinct pairs (a, b) of entities whose sets are similar: bitmaps leave out nearly all others, so few sets are made."""
-    close = materialise(_checked(pairs, maps, "map", F.col("n"), lambda x, y, n: may_be_similar(x, y, n, percent)).distinct(), scratch)
+    """Of distinct pairs (a, b), those of entities whose sets are similar: bitmaps leave out nearly all others, so few sets are made."""
+    close = materialise(_checked(pairs, maps, "map", F.col("n"), lambda x, y, n: may_be_similar(x, y, n, percent)), scratch)
+    if close.isEmpty():
+        return close
     wanted = materialise(_entities(close, reps), scratch)
     sets = materialise(_of_entities(texts, wanted, words, lambda s: (s.tobytes(),), "set binary"), scratch)
     return materialise(_checked(close, sets, "set", F.lit(0), lambda x, y, _: similar(x, y, percent)), scratch)
@@ -368,10 +370,11 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
     groups = materialise(signed_.withColumn("leader", F.first("fp").over(by_sig)).where("leader <> fp").distinct(), scratch)
 
     pairs = materialise(groups.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), scratch)
-    maps = materialise(_maps(texts, materialise(_entities(pairs, reps), scratch), words), scratch)
+    wanted = materialise(_entities(pairs, reps), scratch)
+    maps = materialise(_maps(texts, wanted, words), scratch)
     sized = maps.select("fp", "n", *_BITMAP)
     near = pairs.join(_side(sized, "a"), "a").join(_side(sized, "b"), "b").where(_may_be_similar(percent)).select("a", "b")
-    found = _verify(near, texts, reps, maps, words, percent, scratch)
+    found = _verify(near, texts, wanted, maps, words, percent, scratch)
     # members of groups that the leader leaves in several classes
     label = components(found, scratch=scratch)
     named = lambda df, c, as_: df.join(label.select(F.col("node").alias(c), F.col("label").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
@@ -389,7 +392,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
         y = _side(rows.where(F.col("rank") > first), "b", "sig", "leader", F.col("class").alias("class_b"), "rank")
         more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & _may_be_similar(percent))
         more = more.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))  # compared already
-        new = _verify(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, reps, maps, words, percent, scratch)
+        new = _verify(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, wanted, maps, words, percent, scratch)
         if not new.isEmpty():
             found = materialise(found.union(new).distinct(), scratch)
             label = components(found, scratch=scratch)

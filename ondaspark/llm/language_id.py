@@ -97,7 +97,7 @@ def training_rows(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     chosen = rows.join(F.broadcast(edges), "lang").where(spot < F.col("edge"))
     # equal rows have equal hashes and come together: one of them is enough
     packed = chosen.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_packed, "lang string, bits binary").distinct()
-    got = sorted((bytes(r["bits"]), r["lang"]) for r in packed.toLocalIterator())
+    got = sorted((bytes(r["bits"]), r["lang"]) for r in packed.collect())
     # in an order of no meaning
     got = [got[i] for i in np.random.default_rng(len(got)).permutation(len(got))]
     return [lang for _, lang in got], np.frombuffer(b"".join(bits for bits, _ in got), np.uint8).reshape(len(got), -1)
