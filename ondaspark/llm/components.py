@@ -11,28 +11,42 @@ from .common import materialise
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _hang(edges: DataFrame, least: DataFrame, scratch: list[str] | None) -> DataFrame:
+    """edges (a, b) with m of least(a, m). The table of least nodes is written first: a small one is broadcast by its measured size, and for a large one the join can split the partition of a node of very many edges, for both sides come straight from a shuffle."""
+    return edges.join(materialise(least, scratch), "a")
+
+
+def _large_star(edges: DataFrame, scratch: list[str] | None) -> DataFrame:
     """For each node, hang its larger neighbours on the smallest node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return _hang(both.where("b > a"), least, scratch).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: list[str] | None) -> DataFrame:
     """For each node, hang it and its smaller neighbours on the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b")
+    hung = _hang(down, down.groupBy("a").agg(F.min("b").alias("m")), scratch)
+    return hung.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: list[str] | None = None) -> DataFrame:
-    """(node, label) of every node with an edge; label is the smallest node of its component. Loops and repeated edges are harmless, nulls are ignored. The folders it writes are added to scratch."""
-    now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), scratch)
-    state = None
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node at most, and nothing hangs on one that hangs."""
+    nodes = edges.select(F.col("a").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return nodes.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1").isEmpty()
+
+
+def stars(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """(a, b) of every node a of edges(a, b) that isn't the smallest node b of its component. Loops and repeated edges are harmless, nulls are ignored. The folders it writes are added to scratch."""
+    now = edges.select("a", "b").where("a <> b")
     for _ in range(MAX_ROUNDS):
-        now = materialise(_small_star(_large_star(now)).distinct(), scratch)
-        was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == was:
-            break
+        now = materialise(_small_star(_large_star(now, scratch), scratch).distinct(), scratch)
+        if _only_stars(now):
+            return now
+    raise RuntimeError(f"components are not whole after {MAX_ROUNDS} rounds")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: list[str] | None = None) -> DataFrame:
+    """(node, label) of every node with an edge; label is the smallest node of its component. Edges as in stars."""
+    now = stars(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), scratch)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

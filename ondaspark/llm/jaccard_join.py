@@ -18,8 +18,8 @@ those.
 Sets that are equal are one entity throughout (its fingerprint), so copies
 cost a row each. In a signature group every member is first compared with the
 group's smallest member only; members that this leaves in another class are
-then compared with further members, 1, then 8, then 64 at a time and those of
-most links first, until no two members of
+then compared with further members, 1, then 64, then 4,096 at a time and those
+of most links first, until no two members of
 different classes are untested. So classes are exact and no group emits all
 its pairs. Candidates first meet in a parity bitmap, where each feature flips
 one of 512 bits: two bitmaps differ in at most as many bits as the sets in
@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, binary_column, bloom_filter, bounded_batches, chunks, delete_paths, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
-from .components import components
+from .components import stars
 
 WORDS = 4
 #: Similarity of a link, in percent.
@@ -63,7 +63,7 @@ MAX_THIN = 0.01
 #: Most signatures from one partition of the first level.
 MAX_SUBSETS = 500
 #: After the leader, one member of a signature group is compared with the rest; each further round takes so many times more.
-LEADERS = 8
+LEADERS = 64
 #: 64-bit words of an entity's small parity bitmap; a power of two.
 BITMAP_WORDS = 8
 #: Fingerprints that a worker remembers, so as not to repeat the signatures of copies.
@@ -247,7 +247,7 @@ def _no_id():
 
 
 def _of_entities(texts: DataFrame, wanted: DataFrame, words: int, describe, schema: str) -> DataFrame:
-    """fp, then what describe gives of the set, in schema, of each entity in wanted(fp, rep).
+    """fp and rep, then what describe gives of the set, in schema, of each entity in wanted(fp, rep).
 
     Texts are cut into shingles only if a filter of fixed size may hold their
     doc_id; an exact join removes the rest before anything else is done.
@@ -275,11 +275,11 @@ def _of_entities(texts: DataFrame, wanted: DataFrame, words: int, describe, sche
     rep = F.coalesce("doc_id", _no_id())
     found = texts.select(rep.alias("rep"), F.xxhash64(rep).alias("k"), "text").mapInArrow(run, f"rep long, fp long, {schema}")
     # rows that repeat doc_id and text give the same
-    return found.join(wanted, ["fp", "rep"], "left_semi").groupBy("fp").agg(*[F.any_value(c).alias(c) for c in names[2:]])
+    return found.join(wanted, ["fp", "rep"], "left_semi").groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("rep", *names[2:])])
 
 
 def _maps(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(fp, n, map, w0, w1 ...): number of features, bitmap and small bitmap."""
+    """(fp, rep, n, map, w0, w1 ...): number of features, bitmap and small bitmap."""
 
     def describe(s: np.ndarray) -> tuple:
         m = bitmap(s)
@@ -288,17 +288,17 @@ def _maps(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return _of_entities(texts, wanted, words, describe, "n long, map binary, " + ", ".join(f"{w} long" for w in _BITMAP))
 
 
-def _entities(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(fp, rep) of the entities in pairs."""
-    return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
+def _entities(pairs: DataFrame) -> DataFrame:
+    """(fp, rep) of the entities in pairs(a, b, rep_a, rep_b)."""
+    return pairs.select(F.explode(F.array(*[F.struct(F.col(s).alias("fp"), F.col(f"rep_{s}").alias("rep")) for s in "ab"])).alias("e")).select("e.*").distinct()
 
 
 _BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
 def _side(rows: DataFrame, side: str, *others) -> DataFrame:
-    """fp as side, the size and the bitmap marked by it, and others."""
-    return rows.select(F.col("fp").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *_BITMAP)], *others)
+    """fp as side, rep, the size and the bitmap marked by it, and others."""
+    return rows.select(F.col("fp").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", *_BITMAP)], *others)
 
 
 def _may_be_similar(percent: int):
@@ -323,28 +323,31 @@ def may_be_similar(a: bytes, b: bytes, n: int, percent: int) -> bool:
     return (100 + percent) * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (100 - percent) * n
 
 
+_PAIR = ["a", "b", "rep_a", "rep_b"]
+
+
 def _check(test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [test(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column("x_a"), batch.column("x_b"), batch.column("n").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def _checked(pairs: DataFrame, sides: DataFrame, column: str, n, test) -> DataFrame:
-    """The pairs (a, b) for which test holds of the column in sides(fp, column) and n."""
+    """The pairs (a, b, rep_a, rep_b) for which test holds of the column in sides(fp, column) and n."""
     one = lambda side: sides.select(F.col("fp").alias(side), F.col(column).alias(f"x_{side}"), n.alias(f"n_{side}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "x_a", "x_b", (F.col("n_a") + F.col("n_b")).alias("n"))
-    return both.mapInArrow(_check(test), "a long, b long")
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select(*_PAIR, "x_a", "x_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return both.mapInArrow(_check(test), ", ".join(f"{c} long" for c in _PAIR))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, maps: DataFrame, words: int, percent: int, scratch: list[str]) -> DataFrame:
-    """Of distinct pairs (a, b), those of entities whose sets are similar: bitmaps leave out nearly all others, so few sets are made."""
+def _verify(pairs: DataFrame, texts: DataFrame, maps: DataFrame, words: int, percent: int, scratch: list[str]) -> DataFrame:
+    """Of distinct pairs (a, b, rep_a, rep_b), those of entities whose sets are similar: bitmaps leave out nearly all others, so few sets are made."""
     close = materialise(_checked(pairs, maps, "map", F.col("n"), lambda x, y, n: may_be_similar(x, y, n, percent)), scratch)
     if close.isEmpty():
         return close
-    wanted = materialise(_entities(close, reps), scratch)
+    wanted = materialise(_entities(close), scratch)
     sets = materialise(_of_entities(texts, wanted, words, lambda s: (s.tobytes(),), "set binary"), scratch)
     return materialise(_checked(close, sets, "set", F.lit(0), lambda x, y, _: similar(x, y, percent)), scratch)
 
@@ -353,7 +356,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, maps: DataFrame
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels): members has doc_id, n_shingles and fp (the entity) of every row; links has pairs (a, b) of entities that are similar; labels names each linked entity's component (node, label).
+    """(members, links, labels): members has doc_id, n_shingles and fp (the entity) of every row; links has pairs (a, b) of entities that are similar; labels names the component b, its smallest entity, of every other linked entity a.
 
     The pairs connect every class of similar documents, so their components
     are those of all links; they are not all links. The folders that links
@@ -370,14 +373,14 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
     groups = materialise(signed_.withColumn("leader", F.first("fp").over(by_sig)).where("leader <> fp").distinct(), scratch)
 
     pairs = materialise(groups.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), scratch)
-    wanted = materialise(_entities(pairs, reps), scratch)
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp"), scratch)
     maps = materialise(_maps(texts, wanted, words), scratch)
-    sized = maps.select("fp", "n", *_BITMAP)
-    near = pairs.join(_side(sized, "a"), "a").join(_side(sized, "b"), "b").where(_may_be_similar(percent)).select("a", "b")
-    found = _verify(near, texts, wanted, maps, words, percent, scratch)
+    sized = maps.select("fp", "rep", "n", *_BITMAP)
+    near = pairs.join(_side(sized, "a"), "a").join(_side(sized, "b"), "b").where(_may_be_similar(percent)).select(*_PAIR)
+    found = _verify(near, texts, maps, words, percent, scratch)
     # members of groups that the leader leaves in several classes
-    label = components(found, scratch=scratch)
-    named = lambda df, c, as_: df.join(label.select(F.col("node").alias(c), F.col("label").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
+    label = stars(found, scratch)
+    named = lambda df, c, as_: df.join(label.select(F.col("a").alias(c), F.col("b").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
     open_sigs = named(named(groups, "leader", "leader_class"), "fp", "class").where("class <> leader_class").select("sig").distinct()
     open_rows = groups.join(open_sigs, "sig", "left_semi")
     # the entities of most links lead first: the original of many copies joins most of them to one class at once
@@ -392,20 +395,23 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
         y = _side(rows.where(F.col("rank") > first), "b", "sig", "leader", F.col("class").alias("class_b"), "rank")
         more = x.join(y, "sig").where((F.col("rank") > F.col("rank_a")) & (F.col("class_a") != F.col("class_b")) & _may_be_similar(percent))
         more = more.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))  # compared already
-        new = _verify(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, wanted, maps, words, percent, scratch)
+        ends = [F.struct(F.col(s).alias("fp"), F.col(f"rep_{s}").alias("rep")) for s in "ab"]
+        ordered = more.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct().select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
+        new = _verify(ordered, texts, maps, words, percent, scratch)
         if not new.isEmpty():
-            found = materialise(found.union(new).distinct(), scratch)
-            label = components(found, scratch=scratch)
+            # pairs of different classes, so none was found before
+            found = found.union(new)
+            label = stars(label.union(new.select("a", "b")), scratch)
         # the fewer groups reach a rank, the more of their members lead at once
         first, leaders = first + leaders, leaders * LEADERS
-    return members, found, label
+    return members, found.select("a", "b"), label
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     scratch: list[str] = []
     members, _, label = links(docs, words, percent, scratch)
-    label = label.withColumnRenamed("node", "fp").withColumnRenamed("label", "class")
+    label = label.toDF("fp", "class")
     # entities of no link are classes of their own; first the copies, then the classes, meet in counts that are combined before the shuffle
     entity = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = materialise(entity.join(label, "fp", "left").select("fp", "least", F.coalesce("class", "fp").alias("class")))
