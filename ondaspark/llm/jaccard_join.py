@@ -440,3 +440,23 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM words),
+rows_ AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS e FROM shingled),
+entity AS MATERIALIZED (SELECT e, any_value(n) AS n, min(doc_id) AS least FROM rows_ WHERE n > 0 GROUP BY e),
+feature AS MATERIALIZED (SELECT least, any_value(n) AS n, f FROM (SELECT least, entity.n, unnest(s) AS f FROM shingled JOIN entity ON doc_id = least) GROUP BY least, f),
+links AS MATERIALIZED (
+  SELECT a.least AS a, b.least AS b FROM feature a JOIN feature b ON a.f = b.f AND a.least < b.least AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.least, b.least HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT least, least FROM entity UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+class AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, rows_.n AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM rows_ LEFT JOIN entity ON rows_.e = entity.e AND rows_.n > 0 LEFT JOIN class ON class.a = entity.least
+"""

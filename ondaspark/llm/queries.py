@@ -24,6 +24,6 @@ QUERIES = {
     "op10_language_model": language_model.query,
     "pipeline": pipeline,
 }
-#: op7 alone is plain SQL. op1, op2 and op10 return what trained models decide, op3 and op6 need a tokenizer, op4 a
-#: learned tree; op5 and op8 compare all pairs or windows in SQL, which whole tables don't allow. Those are tested by brute force.
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
+#: op1, op2, op9 and op10 return what trained models decide, op3 and op6 need a tokenizer, op4 a learned tree, and op8
+#: compares all windows in SQL, which whole tables don't allow. Those are tested by brute force.
+ORACLES = {"op5_jaccard_join": jaccard_join.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
