@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -34,6 +35,19 @@ def test_components(spark, edges):
     assert {r["node"]: r["label"] for r in got} == _components(edges) and len(got) == len({r["node"] for r in got})
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_contraction_keeps_components(block, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    r = random.Random(block)
+    edges = [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(120)] + [(i, i - 1) for i in range(200, 300)]
+    edges = [e for e in edges if e[0] != e[1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.int64()), pa.array([e[1] for e in part], pa.int64())], names=["a", "b"]) for part in (edges[:50], [], edges[50:])]
+    left = [e for x in components._contract(iter(batches)) for e in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    assert _components(left) == _components(edges) and len(left) <= len(edges)
+    if block == 1000:  # one block: stars already
+        assert {a: b for a, b in left} == {a: b for a, b in _components(edges).items() if a != b}
+
+
 def _words(text, pattern):
     return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
