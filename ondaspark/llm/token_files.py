@@ -45,6 +45,8 @@ from .pretokens import PieceCache
 
 #: Ids in a block, at which the next one begins.
 BLOCK_IDS = 1 << 19
+#: Characters of text that a worker cuts into pieces at once; a longer document is taken alone.
+ENCODE_CHARS = 1 << 21
 #: Bits of a level of the hash function for each key that reaches it.
 GAMMA = 1.5
 #: Bits for each entry of the rank directory.
@@ -64,6 +66,8 @@ def tokenizer_path() -> str:
 _encoders: dict[str, tuple] = {}
 #: Pieces of these characters alone, whose classes no version of Unicode has changed, are cut here; others are left to the library.
 _PLAIN = re.compile(" [!-~\u00a1-\u024f](?:[\n!-~\u00a1-\u024f]*[!-~\u00a1-\u024f])?")
+#: Of these, pieces that are a single pre-token: all their characters are letters.
+_LETTERS = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Fixed value: the library's byte-level pattern.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker remembers.
@@ -82,9 +86,12 @@ class PieceEncoder:
         self.seen: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, plain = [b""] * len(texts), []
+        out, single, plain = [b""] * len(texts), [], []
+        letters, ordinary = _LETTERS.fullmatch, _PLAIN.fullmatch
         for i, x in enumerate(texts):
-            if _PLAIN.fullmatch(x):
+            if letters(x):
+                single.append(i)
+            elif ordinary(x):
                 plain.append(i)
             elif x:
                 out[i] = self.whole(x)
@@ -93,8 +100,10 @@ class PieceEncoder:
         if len(self.seen) > CACHE_TOKENS:
             self.seen.clear()
         seen = self.seen
-        for t in set(tokens).difference(seen):
+        for t in set(tokens).union([texts[i] for i in single]).difference(seen):
             seen[t] = array("I", [x.id for x in self.tokenize(t.encode().decode("latin-1").translate(self.table))]).tobytes()
+        for i in single:
+            out[i] = seen[texts[i]]
         at = iter(plain)
         i, parts = -1, []
         for t in tokens:
@@ -213,6 +222,18 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- writing
 
 
+def _in_runs(encode: Callable[[list[str]], list[bytes]], texts: list[str]) -> Iterator[bytes]:
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > ENCODE_CHARS:
+            yield from encode(run)
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield from encode(run)
+
+
 def _block(shard: int, block: int, before: int, keys: list, ids: list[bytes], id_bytes: int) -> dict:
     nulls = np.array([k is None for k in keys], bool)
     values = np.array([0 if k is None else k for k in keys], "<i8")
@@ -254,11 +275,10 @@ def write(docs: DataFrame, out: str, path: str | None = None, partitions: int |
         end = array("I", [END_ID]).tobytes()
         shard, block, before, keys, ids, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in batches:
-            for i, key in enumerate(batch.column("doc_id").to_pylist()):
-                if i % 128 == 0:
-                    texts = encode([t or "" for t in batch.column("text").slice(i, 128).to_pylist()])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for key, found in zip(batch.column("doc_id").to_pylist(), _in_runs(encode, texts), strict=True):
                 keys.append(key)
-                ids.append(texts[i % 128] + end)
+                ids.append(found + end)
                 n += len(ids[-1]) // 4
                 if n >= block_ids:
                     yield pa.RecordBatch.from_pylist([_block(shard, block, before, keys, ids, id_bytes)], schema)
