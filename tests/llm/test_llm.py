@@ -65,13 +65,6 @@ def test_bpe_and_token_files(spark, texts, tmp_path):
     assert opened == 1 < all_ and rows(token_files.lookup(spark, out, [40]))[40] == got[40]
 
 
-@pytest.mark.parametrize("chars", [1, 9, 1000])
-def test_runs_of_texts_keep_order(chars, monkeypatch):
-    monkeypatch.setattr(token_files, "ENCODE_CHARS", chars)
-    texts = ["", "a" * 20, "b", "", "cc", "d" * 9, ""]
-    assert list(token_files._in_runs(lambda run: [t.encode() for t in run], texts)) == [t.encode() for t in texts] and not list(token_files._in_runs(None, []))
-
-
 def test_perfect_hash_is_minimal():
     keys = np.arange(5000)
     h = token_files.key_hashes(keys, np.zeros(5000, bool))
