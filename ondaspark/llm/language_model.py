@@ -11,13 +11,16 @@ ones. Scoring uses the model as it then stands
 and the counts of all blocks, so a score does not depend on the order of
 documents.
 
-A token's score depends on its bytes and the last byte before it alone: that
-is its key. Distinct keys are counted, sorted by token and packed in chunks of
+A token's score is that of its first two bytes (one for the end), which depends
+on the three bytes before its space, of whatever words (its head), and that of
+its other bytes, which depends on its bytes and the last byte before it (its
+key). So every context of one to four bytes reaches back over as many bytes.
+Distinct keys and heads are counted, sorted by token and packed in chunks of
 bounded size, so a prefix's counts stand in one chunk unless it begins the
-chunk's first or last token. Those prefixes and the contexts of last bytes are
-summed in a distributed table, which grows with the corpus; its HEAVY_CONTEXTS
+chunk's first or last token or is shorter than two bytes. Those prefixes and
+the contexts of last bytes are summed in a distributed table, which grows with the corpus; its HEAVY_CONTEXTS
 most used entries are broadcast, the rest are joined to the chunks. Scores and
-counts of the HEAVY most frequent keys are broadcast in the same way (24 bytes
+counts of the HEAVY most frequent keys and heads are broadcast in the same way (24 bytes
 each), the rest meet their documents in a join.
 
 Defined cases: null or empty text is one end token; a null doc_id counts as
@@ -52,6 +55,8 @@ GATES = 64
 #: Stretched predictions of eight bits and the logarithm of the context's count.
 WIDTH = 9
 APM_BUCKETS = 33
+#: First bytes of a token that its head holds, and what tells contexts apart that reach into the bytes before the last one.
+HEAD, ACROSS = 2, 8
 END = 10  # line feed: never inside a word
 END_HASH = U(0x5851F42D4C957F2D)
 _K = [U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x2545F4914F6CDD1D)]
@@ -70,7 +75,7 @@ def part() -> Column:
 
 
 class Tokens:
-    """The tokens of some texts: hash, last byte of the token before (space at a text's start), row, and where their bytes stand."""
+    """The tokens of some texts: hash, last three bytes before the space that they follow (spaces before a text's start), row, and where their bytes stand."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         self.data = lower(data)
@@ -87,6 +92,15 @@ class Tokens:
         final = np.full(n, 32, np.uint8)
         final[words > 0] = last[first[1:][words > 0] - 1]
         self.before = np.concatenate([before, final])
+        size, prior = ends - starts, np.concatenate([np.arange(len(starts)), first[1:]]) - 1
+        known = prior >= first[:-1][self.row]
+        self.second, self.third = np.full((2, len(prior)), 32, np.uint8)
+        at = np.flatnonzero(known)
+        one, two, more = (at[size[prior[at]] == 1], at[size[prior[at]] > 1], at[size[prior[at]] > 2]) if len(at) else (at, at, at)
+        one = one[prior[one] > first[:-1][self.row[one]]]
+        self.second[two] = self.data[ends[prior[two]] - 2]
+        self.third[more] = self.data[ends[prior[more]] - 3]
+        self.third[one] = last[prior[one] - 1]
         self.lo = np.concatenate([starts, np.full(n, -1)])
         self.hi = np.concatenate([ends, np.full(n, -1)])
         self.counts = words + 1
@@ -94,6 +108,14 @@ class Tokens:
     def keys(self) -> np.ndarray:
         return mix(self.hash + (self.before.astype(U) + U(1)) * _K[4])
 
+    def heads(self) -> np.ndarray:
+        """Each token's first two bytes (the end: its one) with the three bytes before its space, in one number."""
+        word = self.lo >= 0
+        b0, b1 = np.full(len(word), END, np.uint8), np.zeros(len(word), np.uint8)
+        b0[word] = self.data[self.lo[word]]
+        b1[word] = np.where(self.hi[word] - self.lo[word] > 1, self.data[np.minimum(self.lo[word] + 1, max(len(self.data) - 1, 0))], 32)
+        return sum(b.astype(U) << U(8 * i) for i, b in enumerate((self.before, self.second, self.third, b0, b1, word)))
+
     def bytes_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the chosen tokens, each with its closing space, or the end byte alone."""
         size = np.where(self.lo[at] < 0, 1, self.hi[at] - self.lo[at] + 1)
@@ -107,6 +129,10 @@ class Tokens:
         return out, offs
 
 
+def head_keys(heads: np.ndarray) -> np.ndarray:
+    return mix(heads + _K[5])
+
+
 def take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the spans of data that start at lo."""
     offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -117,54 +143,64 @@ def take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
 
 
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of a task with their tokens and their counts in each block and in held-out texts."""
-    key, count, before, data, offs = np.zeros(0, U), np.zeros((0, PARTS + 1), np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    """Distinct keys of a task with their tokens and their counts in each block and in held-out texts; heads likewise, before NO_TOKEN."""
+    key, count, before, data, offs = np.zeros(0, U), np.zeros((0, PARTS + 1), np.int64), np.zeros(0, np.int16), np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def out():
         for a in range(0, len(key), 50_000):
             b = min(a + 50_000, len(key))
             blob, part_offs = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             token = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(part_offs.tobytes()), pa.py_buffer(blob.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[a:b])), token, pa.array(before[a:b].astype(np.int16)), *[pa.array(np.ascontiguousarray(count[a:b, i])) for i in range(PARTS + 1)]], names=["key", "token", "before", *_COUNTS])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key[a:b])), token, pa.array(before[a:b]), *[pa.array(np.ascontiguousarray(count[a:b, i])) for i in range(PARTS + 1)]], names=["key", "token", "before", *_COUNTS])
 
     for batch in batches:
         parts = batch.column("part").to_numpy()
         for lo, hi, text, text_offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
             t = Tokens(text, text_offs)
             keys, first, inverse = np.unique(t.keys(), return_index=True, return_inverse=True)
-            n = np.bincount(inverse * (PARTS + 1) + parts[lo:hi][t.row], minlength=len(keys) * (PARTS + 1)).reshape(-1, PARTS + 1)
+            heads, of_head = np.unique(t.heads(), return_inverse=True)
+            block = parts[lo:hi][t.row]
+            n = np.concatenate([np.bincount(of * (PARTS + 1) + block, minlength=m * (PARTS + 1)).reshape(-1, PARTS + 1) for of, m in ((inverse, len(keys)), (of_head, len(heads)))])
+            keys = np.concatenate([keys, head_keys(heads)])
             more, more_offs = t.bytes_of(first)
+            more, more_offs = np.concatenate([more, heads.view(np.uint8)]), np.concatenate([more_offs, more_offs[-1] + 8 * np.arange(1, len(heads) + 1)])
+            now = np.concatenate([t.before[first].astype(np.int16), np.full(len(heads), NO_TOKEN, np.int16)])
             both, at, inverse = np.unique(np.concatenate([key, keys]), return_index=True, return_inverse=True)
             total = np.zeros((len(both), PARTS + 1), np.int64)
             total[inverse[: len(key)]] = count
             total[inverse[len(key) :]] += n
             starts, ends = np.concatenate([offs[:-1], more_offs[:-1] + offs[-1]])[at], np.concatenate([offs[1:], more_offs[1:] + offs[-1]])[at]
             data, offs = take(np.concatenate([data, more]), starts, ends - starts)
-            key, count, before = both, total, np.concatenate([before, t.before[first]])[at]
+            key, count, before = both, total, np.concatenate([before, now])[at]
             if len(key) > COUNTED or len(data) > 16 * COUNTED:
                 yield from out()
                 key, count, before, data, offs = key[:0], count[:0], before[:0], data[:0], np.zeros(1, np.int64)
     yield from out()
 
 
+NO_TOKEN = -1
 _COUNTS = [f"c{i}" for i in range(PARTS + 1)]
 KEY_SCHEMA = "key long, token binary, before short, " + ", ".join(f"{c} long" for c in _COUNTS)
-CHUNK_SCHEMA = "tokens binary, sizes binary, befores binary, keys binary, counts binary, n_train long, n_types long"
+CHUNK_SCHEMA = "tokens binary, sizes binary, befores binary, keys binary, counts binary, heads binary, head_counts binary, n_train long, n_types long"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted keys in chunks, each a row; chunks end where a token does."""
     held: list[pa.RecordBatch] = []
 
+    def parts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offs = raw(pa.concat_arrays([pa.array([], pa.large_binary()), *t.column("token").cast(pa.large_binary()).chunks]))
+        return data, offs, np.stack([t.column(c).to_numpy() for c in _COUNTS], axis=1)
+
     def out(t: pa.Table) -> pa.RecordBatch:
-        token = t.column("token").cast(pa.large_binary()).combine_chunks()
-        token = token.chunk(0) if isinstance(token, pa.ChunkedArray) else token
-        data, offs = raw(token)
-        counts = np.stack([t.column(c).to_numpy() for c in _COUNTS], axis=1)
+        is_head = pa.array(t.column("before").to_numpy() == NO_TOKEN)
+        heads, _, head_counts = parts(t.filter(is_head))
+        t = t.filter(pa.array(~is_head.to_numpy(zero_copy_only=False)))
+        data, offs, counts = parts(t)
         train = counts[:, :PARTS].sum(axis=1)
         types = np.bincount(same_as_before(data, offs), train) > 0
-        row = (data.tobytes(), np.diff(offs).astype(np.int32).tobytes(), t.column("before").to_numpy().astype(np.uint8).tobytes(), t.column("key").to_numpy().tobytes(), counts.tobytes(), int(train.sum()), int(types.sum()))
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names=["tokens", "sizes", "befores", "keys", "counts", "n_train", "n_types"])
+        row = (data.tobytes(), np.diff(offs).astype(np.int32).tobytes(), t.column("before").to_numpy().astype(np.uint8).tobytes(), t.column("key").to_numpy().tobytes(), counts.tobytes(), heads.tobytes(), head_counts.tobytes(), int(train.sum()), int(types.sum()))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names=["tokens", "sizes", "befores", "keys", "counts", "heads", "head_counts", "n_train", "n_types"])
 
     n = size = 0
     for batch in batches:
@@ -191,7 +227,7 @@ def same_as_before(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """For sorted tokens: the number of each one's distinct token."""
     prefix = prefix_hash(data)
     h = span_hash(prefix, offs[:-1], offs[1:])
-    return np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+    return np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))[: len(h)]
 
 
 # --------------------------------------------------------------------------- contexts
@@ -230,15 +266,81 @@ def entry(code: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return mix(code * _K[1] + (byte.astype(U) + U(1)) * _K[3])
 
 
-class Chunk:
-    """The bytes of a chunk's keys, each distinct (prefix, last bytes, byte) once: a unit."""
+class Units:
+    """Distinct bytes with their contexts: low (the last four bytes), prefix, byte, weight in each block, and whether they are scored here."""
+
+    low: np.ndarray
+    prefix: np.ndarray
+    byte: np.ndarray
+    weight: np.ndarray
+    scored: np.ndarray
+
+    def codes(self) -> list[np.ndarray]:
+        """The contexts of all units, by predictor."""
+        return [(U(k + 1) << U(32)) | (self.low & U((1 << 8 * (k + 1)) - 1)) for k in range(CONTEXTS - 1)] + [self.prefix]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions among all contexts of those that the table has, which of them are counted here)."""
+        raise NotImplementedError
+
+    def uses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, byte, counts) of all contexts that the table has."""
+        at, counted = self.found()
+        unit = at % max(len(self.low), 1)
+        return np.concatenate(self.codes())[at], self.byte[unit], self.weight[unit] * counted[:, None]
+
+    def locate(self, names: np.ndarray, x: np.ndarray, row: dict) -> Units:
+        """Find the predictions of all units once: among the broadcast entries (names and x), or the joined ones of row."""
+        own, own_x = np.frombuffer(row["light"] or b"", U), np.frombuffer(row["light_x"] or b"", np.float16).reshape(-1, PARTS + 1, WIDTH)
+        n = len(self.low)
+        self.spot = np.full((CONTEXTS, n), -1, np.int64)
+        want, _ = self.found()
+        e = entry(np.concatenate(self.codes())[want], self.byte[want % max(n, 1)])
+        base = 0
+        for table in (names, own):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, e), len(table) - 1)
+                hit = table[at] == e
+                self.spot.ravel()[want[hit]] = base + at[hit]
+                want, e = want[~hit], e[~hit]
+            base += len(table)
+        self.tables = [x, own_x]
+        return self
+
+    def predictions(self, of: int, at: np.ndarray) -> np.ndarray:
+        """(CONTEXTS, units at, WIDTH) from the counts of block of (PARTS: of all)."""
+        spot = self.spot[:, at]
+        out = np.zeros((*spot.shape, WIDTH), np.float32)
+        base = 0
+        for table in self.tables:
+            here = (spot >= base) & (spot < base + len(table))
+            out[here] = table[spot[here] - base, of]
+            base += len(table)
+        return out
+
+    def inputs(self, of: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretched predictions (CONTEXTS, 8, units) from the counts of block of (PARTS: of all), units, edges): the units at, by gate, and the edges of the gates' runs."""
+        x, order, edges = by_gate(self.predictions(of, at))
+        return x, at[order], edges
+
+
+def by_gate(out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretched predictions (CONTEXTS, 8, units), order, edges of the gates' runs)."""
+    gate = np.minimum(np.ceil(out[-1, :, 8] / 2), 7).astype(np.int8)
+    order = np.argsort(gate, kind="stable")
+    return np.ascontiguousarray(out[:, order, :8].transpose(0, 2, 1)), order, np.searchsorted(gate[order], np.arange(9))
+
+
+class Chunk(Units):
+    """The bytes of a chunk's keys, each distinct (prefix, last bytes, byte) once: a unit. Those from a token's third byte on are scored here, the others in the chunk's heads."""
 
     def __init__(self, row: dict):
         data, size = np.frombuffer(row["tokens"], np.uint8), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
         before = np.frombuffer(row["befores"], np.uint8)
+        self.heads = Heads(row)
         self.keys = np.frombuffer(row["keys"], np.int64)
         self.counts = np.frombuffer(row["counts"], np.int64).reshape(-1, PARTS + 1)
-        self.offs = offs = np.concatenate([[0], np.cumsum(size)])
+        self.offs = offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         self.type = same_as_before(data, offs)
         n = len(data)
         token = np.repeat(np.arange(len(size)), size)
@@ -253,39 +355,28 @@ class Chunk:
         _, first, self.unit = np.unique(mix(prefix + low * _K[0]) + data.astype(U) * _K[2], return_index=True, return_inverse=True)
         self.token, self.low, self.byte, self.prefix = token, low[first], data[first], prefix[first]
         self.weight = np.stack([np.bincount(self.unit, self.counts[token, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
-        # prefixes of the first and of the last token may go on in other chunks
-        ends = np.concatenate([prefix[: size[0]], prefix[offs[-2] :]])
-        self.open = np.isin(self.prefix, ends)
+        self.scored = place[first] >= HEAD
+        # prefixes of the first and of the last token may go on in other chunks, and heads stand in any chunk
+        ends = np.concatenate([prefix[: size[0]], prefix[offs[-2] :]]) if len(size) else prefix
+        self.open = np.isin(self.prefix, ends) | ~self.scored
 
-    def codes(self) -> list[np.ndarray]:
-        """The contexts of all units, by predictor."""
-        return [(U(k + 1) << U(32)) | (self.low & U((1 << 8 * (k + 1)) - 1)) for k in range(CONTEXTS - 1)] + [self.prefix]
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.low)
+        at = np.concatenate([np.arange((CONTEXTS - 1) * n), (CONTEXTS - 1) * n + np.flatnonzero(self.open)])
+        return at, np.ones(len(at), bool)
 
     def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context, byte, counts), each once, of all contexts but the prefixes that no other chunk has."""
-        codes = self.codes()
-        at = np.concatenate([np.arange(len(self.low))] * (CONTEXTS - 1) + [np.flatnonzero(self.open)])
-        code = np.concatenate([*codes[:-1], codes[-1][self.open]])
-        _, first, inverse = np.unique(entry(code, self.byte[at]), return_index=True, return_inverse=True)
-        counts = np.stack([np.bincount(inverse, self.weight[at, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
-        return code[first], self.byte[at][first], counts
+        code, byte, weight = (np.concatenate(x) for x in zip(self.uses(), self.heads.uses(), strict=True))
+        _, first, inverse = np.unique(entry(code, byte), return_index=True, return_inverse=True)
+        counts = np.stack([np.bincount(inverse, weight[:, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
+        return code[first], byte[first], counts
 
     def locate(self, names: np.ndarray, x: np.ndarray, row: dict) -> Chunk:
-        """Find the predictions of all units once: among the broadcast entries (names and x), the joined ones of row, or from the chunk's own counts."""
-        own, own_x = np.frombuffer(row["light"] or b"", U), np.frombuffer(row["light_x"] or b"", np.float16).reshape(-1, PARTS + 1, WIDTH)
-        n = len(self.low)
-        self.spot = np.full((CONTEXTS, n), -1, np.int64)
-        want = np.concatenate([np.arange((CONTEXTS - 1) * n), (CONTEXTS - 1) * n + np.flatnonzero(self.open)])
-        e = entry(np.concatenate(self.codes())[want], self.byte[want % max(n, 1)])
-        base = 0
-        for table in (names, own):
-            if len(table):
-                at = np.minimum(np.searchsorted(table, e), len(table) - 1)
-                hit = table[at] == e
-                self.spot.ravel()[want[hit]] = base + at[hit]
-                want, e = want[~hit], e[~hit]
-            base += len(table)
-        self.tables = [x, own_x]
+        """Find the predictions of all units once, also from the chunk's own counts, and those of its heads."""
+        super().locate(names, x, row)
+        self.heads.locate(names, x, row)
+        base = sum(len(table) for table in self.tables)
         rest = np.flatnonzero(~self.open)
         if len(rest):
             order = rest[np.lexsort((self.byte[rest], self.prefix[rest]))]
@@ -295,18 +386,56 @@ class Chunk:
             self.spot[-1, order] = base + np.cumsum(head) - 1
         return self
 
-    def inputs(self, of: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretched predictions (CONTEXTS, 8, units) from the counts of block of (PARTS: of all), units, edges): the units at, by gate, and the edges of the gates' runs."""
-        spot = self.spot[:, at]
-        out = np.zeros((*spot.shape, WIDTH), np.float32)
-        base = 0
-        for table in self.tables:
-            here = (spot >= base) & (spot < base + len(table))
-            out[here] = table[spot[here] - base, of]
-            base += len(table)
-        gate = np.minimum(np.ceil(out[-1, :, 8] / 2), 7).astype(np.int8)
-        order = np.argsort(gate, kind="stable")
-        return np.ascontiguousarray(out[:, order, :8].transpose(0, 2, 1)), at[order], np.searchsorted(gate[order], np.arange(9))
+    def scored_inputs(self, of: int, block: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(stretched predictions, order, edges, bytes, units of chunk and heads) of all scored units, or those with a weight in block; bytes are in order."""
+        units = [self, self.heads]
+        at = [np.flatnonzero(u.scored if block is None else u.scored & (u.weight[:, block] > 0)) for u in units]
+        x, order, edges = by_gate(np.concatenate([u.predictions(of, a) for u, a in zip(units, at, strict=True)], axis=1))
+        return x, order, edges, np.concatenate([u.byte[a] for u, a in zip(units, at, strict=True)])[order], at
+
+
+class Heads(Units):
+    """The first two bytes of tokens, after the last bytes of what stands before, however many words that is."""
+
+    def __init__(self, row: dict):
+        self.heads = heads = np.frombuffer(row["heads"], U)
+        self.counts = np.frombuffer(row["head_counts"], np.int64).reshape(-1, PARTS + 1)
+        b0, b1, self.word = (heads >> U(24)) & U(255), (heads >> U(32)) & U(255), (heads >> U(40)) == 1
+        lows = [U(32) | ((heads & U(0xFFFFFF)) << U(8)), b0 | U(32 << 8) | ((heads & U(0xFFFF)) << U(16))]
+        one = np.arange(256, dtype=np.uint8)
+        one = span_hash(prefix_hash(one), np.arange(256), np.arange(1, 257))
+        low, prefix, byte = [], [], []
+        self.units, weight, n = [], [], 0
+        for place, (near, b, of) in enumerate(zip(lows, (b0, b1), (np.ones(len(heads), bool), self.word), strict=True)):
+            both, inverse = np.unique(near[of] | (b[of] << U(32)), return_inverse=True)
+            low.append(both & U(0xFFFFFFFF))
+            byte.append((both >> U(32)).astype(np.uint8))
+            prefix.append(one[(both & U(255)).astype(np.int64)] if place else np.zeros(len(both), U))
+            weight.append(np.stack([np.bincount(inverse, self.counts[of, i], len(both)) for i in range(PARTS)], axis=1).astype(np.int64))
+            self.units.append(n + inverse)
+            n += len(both)
+        self.first = np.arange(n) < len(low[0])
+        self.low, self.prefix, self.byte, self.weight = (np.concatenate(x) for x in (low, prefix, byte, weight))
+        self.scored = np.ones(n, bool)
+
+    def codes(self) -> list[np.ndarray]:
+        """Contexts that reach further back than a key knows are told apart from those of keys."""
+        codes = super().codes()
+        return [c + (U(ACROSS) << U(32)) * crossing for c, crossing in zip(codes, self.crossing(), strict=True)]
+
+    def crossing(self) -> list[np.ndarray]:
+        none = np.zeros(len(self.low), bool)
+        return [none, none, self.first, ~none, none]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        # the chunks' keys count the others
+        return np.arange(CONTEXTS * len(self.low)), np.concatenate(self.crossing())
+
+    def log(self, of_units: np.ndarray) -> np.ndarray:
+        """A value for each head, from those of units."""
+        out = of_units[self.units[0]]
+        out[self.word] += of_units[self.units[1]]
+        return out
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +468,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
-    """(chunk, packed keys) of all documents, sorted by token."""
+    """(chunk, packed keys and heads) of all documents, sorted by token."""
     rows = docs.select(F.col("text").cast("binary").alias("text"), part().alias("part")).mapInArrow(_count_keys, KEY_SCHEMA)
     keys = rows.groupBy("key").agg(F.first("token").alias("token"), F.first("before").alias("before"), *[F.sum(c).alias(c) for c in _COUNTS])
     ranged = keys.withColumn("head", F.substring("token", 1, 256)).repartitionByRange("head").drop("head").sortWithinPartitions("token", "before")
@@ -454,8 +583,9 @@ def _sums(model: Mixer, entries, mapped: bool):
                 c = Chunk(row).locate(*entries.value, row)
                 for b in range(PARTS):
                     # with two blocks, the counts of all others are those of the other one
-                    x, at, edges = c.inputs(1 - b, np.flatnonzero(c.weight[:, b]))
-                    one = (model.seen if mapped else model.gradient)(x, edges, c.byte[at], c.weight[at, b].astype(np.float64))
+                    x, order, edges, byte, at = c.scored_inputs(1 - b, b)
+                    weight = np.concatenate([c.weight[at[0], b], c.heads.weight[at[1], b]])[order].astype(np.float64)
+                    one = (model.seen if mapped else model.gradient)(x, edges, byte, weight)
                     total = one if total is None else total + one
                 least = row["chunk"] if least is None else min(least, row["chunk"])
         if total is not None:
@@ -493,13 +623,15 @@ def _score_keys(model: Mixer, entries):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(row).locate(*entries.value, row)
-                x, at, edges = c.inputs(PARTS, np.arange(len(c.byte)))
-                log = np.empty(len(at))
-                log[at] = model.log10(x, edges, c.byte[at])
+                x, order, edges, byte, at = c.scored_inputs(PARTS)
+                log, own = np.empty(len(order)), np.zeros(len(c.byte))
+                log[order] = model.log10(x, edges, byte)
+                own[at[0]] = log[: len(at[0])]
                 known = np.bincount(c.type, c.counts[:, :PARTS].sum(axis=1))[c.type]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.keys), pa.array(c.counts.sum(axis=1)), pa.array(known.astype(np.int64)), pa.array(np.bincount(c.token, log[c.unit], len(c.keys)))], names=["key", "c", "known", "score"]
-                )
+                keys, counts = np.concatenate([c.keys, signed(head_keys(c.heads.heads))]), np.concatenate([c.counts, c.heads.counts]).sum(axis=1)
+                known = np.concatenate([known, np.zeros(len(c.heads.heads))]).astype(np.int64)  # a token is known by its key
+                value = np.concatenate([np.bincount(c.token, own[c.unit], len(c.keys)), c.heads.log(log[len(at[0]) :])])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(known), pa.array(value)], names=["key", "c", "known", "score"])
 
     return run
 
@@ -514,19 +646,21 @@ def _score(heavy):
             for lo, hi, data, offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
                 n = hi - lo
                 t = Tokens(data, offs)
-                keys, inverse = np.unique(t.keys(), return_inverse=True)
+                # a token's score is its key's and its head's
+                keys, inverse = np.unique(np.concatenate([t.keys(), head_keys(t.heads())]), return_inverse=True)
+                of = np.concatenate([t.row, t.row])
                 at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
                 hit = key[at] == keys if len(key) else np.zeros(len(keys), bool)
                 at, found = at[inverse], hit[inverse]
                 rest = np.flatnonzero(~found)
-                rest = rest[np.argsort(t.row[rest], kind="stable")]
-                light_offs = np.concatenate([[0], np.cumsum(np.bincount(t.row[rest], minlength=n))])
+                rest = rest[np.argsort(of[rest], kind="stable")]
+                light_offs = np.concatenate([[0], np.cumsum(np.bincount(of[rest], minlength=n))])
                 size = np.bincount(t.row, np.where(t.lo < 0, 1, t.hi - t.lo + 1), n)
-                row, at = t.row[found], at[found]
+                row, at = of[found], at[found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(t.counts, pa.int64()), pa.array(np.bincount(row, known[at] > 0, n).astype(np.int64)),
-                        pa.array(np.bincount(row, np.log10(known[at] + 1.0), n)), pa.array(size.astype(np.int64)), pa.array(np.bincount(row, score[at], n).astype(np.float64)),
+                        pa.array(np.bincount(row, np.log10(known[at] + 1.0), n).astype(np.float64)), pa.array(size.astype(np.int64)), pa.array(np.bincount(row, score[at], n).astype(np.float64)),
                         pa.ListArray.from_arrays(pa.array(light_offs, pa.int32()), pa.array(signed(keys[inverse[rest]]))),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "heavy_known", "heavy_log", "n_bytes", "heavy_score", "light"],

@@ -332,6 +332,39 @@ def test_language_model_counts_every_context(spark, texts, keys, heavy, monkeypa
         assert got[c[4], c[3], b] == pytest.approx(np.array([brute_stretch(seen[k], c[k], b) for k in range(5)]), abs=5e-3)
 
 
+@pytest.mark.parametrize(("keys", "heavy"), [(1 << 14, 1 << 19), (3, 0)])
+def test_language_model_contexts_cross_words(spark, texts, keys, heavy, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK_KEYS", keys)
+    monkeypatch.setattr(language_model, "HEAVY", heavy)
+    monkeypatch.setattr(language_model, "train", lambda packed, entries: language_model.Mixer())
+    texts = [*texts, "a b c d e", "xa b c d e", "ab c a b c", "no the", "of the", "lo the", "a\0 b", "\0\0 b"]
+
+    def places(text):
+        words = [w + b" " for w in (text or "").encode().lower().split()] + [b"\n"]
+        stream, at = b"    " + b"".join(words), 4
+        for token in words:
+            for i, b in enumerate(token):
+                yield [stream[at + i - k : at + i] for k in range(1, 5)] + [token[:i]], b
+            at += len(token)
+
+    seen, memo = [{} for _ in range(5)], {}
+    for i, t in enumerate(texts):
+        for contexts, b in places(t) if zlib.crc32(str(i).encode()) % 7 != 2 else ():
+            for k, c in enumerate(contexts):
+                seen[k].setdefault(c, []).append(b)
+
+    def log(contexts, b):
+        if (*contexts, b) not in memo:
+            x = np.array([brute_stretch(seen[k], c, b) for k, c in enumerate(contexts)])[:, :, None]
+            gate = min(int(np.ceil(np.log2(len(seen[4].get(contexts[4], [])) + 1) / 2)), 7)
+            memo[*contexts, b] = float(language_model.Mixer().log10(x, (np.arange(9) > gate).astype(int), np.array([b], np.uint8))[0])
+        return memo[*contexts, b]
+
+    got = rows(language_model.score(table(spark, texts)))
+    for i, t in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(sum(log(c, b) for c, b in places(t)), rel=1e-3)
+
+
 def test_language_model_trains_on_all_documents(spark, monkeypatch):
     sums, docs = [], [f"word{i} of {i % 7}" for i in range(900)]
     monkeypatch.setattr(language_model.Mixer, "settle", lambda self, found: sums.append(found[:, 1].sum()))
