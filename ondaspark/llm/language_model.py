@@ -48,6 +48,8 @@ CONTEXTS = 5
 PARTS, PASSES = 2, 2
 #: Bytes of text that are cut into tokens at once; keys that a task counts before it passes them on.
 TEXT_BYTES, COUNTED = 1 << 22, 1 << 20
+#: Spans copied at once.
+TAKEN = 1 << 16
 #: Keys and bytes of a chunk; one token's keys stay together.
 CHUNK_KEYS, CHUNK_TOKEN_BYTES = 1 << 14, 1 << 18
 #: Weight sets: eight bits, eight classes of the number of times that the token so far was seen.
@@ -119,11 +121,7 @@ class Tokens:
     def bytes_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the chosen tokens, each with its closing space, or the end byte alone."""
         size = np.where(self.lo[at] < 0, 1, self.hi[at] - self.lo[at] + 1)
-        offs = np.concatenate([[0], np.cumsum(size)])
-        token = np.repeat(np.arange(len(at)), size)
-        inside = np.arange(offs[-1]) - offs[token]
-        source = np.minimum(np.maximum(self.lo[at][token], 0) + inside, max(len(self.data) - 1, 0))
-        out = self.data[source] if len(self.data) else np.zeros(offs[-1], np.uint8)
+        out, offs = take(np.append(self.data, np.uint8(32)), np.maximum(self.lo[at], 0), size)
         closing = offs[1:] - 1
         out[closing] = np.where(self.lo[at] < 0, END, 32)
         return out, offs
@@ -134,9 +132,13 @@ def head_keys(heads: np.ndarray) -> np.ndarray:
 
 
 def take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the spans of data that start at lo."""
+    """(bytes, offsets) of the spans of data that start at lo, TAKEN spans at once."""
     offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return data[np.repeat(lo - offs[:-1], size) + np.arange(offs[-1])], offs
+    out = np.empty(offs[-1], np.uint8)
+    for a in range(0, len(size), TAKEN):
+        b = min(a + TAKEN, len(size))
+        out[offs[a] : offs[b]] = data[np.repeat(lo[a:b] - offs[a:b], size[a:b]) + np.arange(offs[a], offs[b])]
+    return out, offs
 
 
 # --------------------------------------------------------------------------- keys
@@ -157,10 +159,11 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = batch.column("part").to_numpy()
         for lo, hi, text, text_offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
             t = Tokens(text, text_offs)
-            keys, first, inverse = np.unique(t.keys(), return_index=True, return_inverse=True)
-            heads, of_head = np.unique(t.heads(), return_inverse=True)
             block = parts[lo:hi][t.row]
-            n = np.concatenate([np.bincount(of * (PARTS + 1) + block, minlength=m * (PARTS + 1)).reshape(-1, PARTS + 1) for of, m in ((inverse, len(keys)), (of_head, len(heads)))])
+            heads, inverse = np.unique(t.heads(), return_inverse=True)
+            of_heads = np.bincount(inverse * (PARTS + 1) + block, minlength=len(heads) * (PARTS + 1))
+            keys, first, inverse = np.unique(t.keys(), return_index=True, return_inverse=True)
+            n = np.concatenate([np.bincount(inverse * (PARTS + 1) + block, minlength=len(keys) * (PARTS + 1)), of_heads]).reshape(-1, PARTS + 1)
             keys = np.concatenate([keys, head_keys(heads)])
             more, more_offs = t.bytes_of(first)
             more, more_offs = np.concatenate([more, heads.view(np.uint8)]), np.concatenate([more_offs, more_offs[-1] + 8 * np.arange(1, len(heads) + 1)])
@@ -307,10 +310,9 @@ class Units:
         self.tables = [x, own_x]
         return self
 
-    def predictions(self, of: int, at: np.ndarray) -> np.ndarray:
-        """(CONTEXTS, units at, WIDTH) from the counts of block of (PARTS: of all)."""
+    def predict(self, of: int, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Fill out, (CONTEXTS, units at, WIDTH) of zeros, from the counts of block of (PARTS: of all)."""
         spot = self.spot[:, at]
-        out = np.zeros((*spot.shape, WIDTH), np.float32)
         base = 0
         for table in self.tables:
             here = (spot >= base) & (spot < base + len(table))
@@ -320,7 +322,7 @@ class Units:
 
     def inputs(self, of: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(stretched predictions (CONTEXTS, 8, units) from the counts of block of (PARTS: of all), units, edges): the units at, by gate, and the edges of the gates' runs."""
-        x, order, edges = by_gate(self.predictions(of, at))
+        x, order, edges = by_gate(self.predict(of, at, np.zeros((CONTEXTS, len(at), WIDTH), np.float32)))
         return x, at[order], edges
 
 
@@ -328,7 +330,10 @@ def by_gate(out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretched predictions (CONTEXTS, 8, units), order, edges of the gates' runs)."""
     gate = np.minimum(np.ceil(out[-1, :, 8] / 2), 7).astype(np.int8)
     order = np.argsort(gate, kind="stable")
-    return np.ascontiguousarray(out[:, order, :8].transpose(0, 2, 1)), order, np.searchsorted(gate[order], np.arange(9))
+    x = np.empty((CONTEXTS, 8, len(order)), np.float32)
+    for k in range(CONTEXTS):
+        x[k] = out[k, order, :8].T
+    return x, order, np.searchsorted(gate[order], np.arange(9))
 
 
 class Chunk(Units):
@@ -390,7 +395,10 @@ class Chunk(Units):
         """(stretched predictions, order, edges, bytes, units of chunk and heads) of all scored units, or those with a weight in block; bytes are in order."""
         units = [self, self.heads]
         at = [np.flatnonzero(u.scored if block is None else u.scored & (u.weight[:, block] > 0)) for u in units]
-        x, order, edges = by_gate(np.concatenate([u.predictions(of, a) for u, a in zip(units, at, strict=True)], axis=1))
+        out = np.zeros((CONTEXTS, len(at[0]) + len(at[1]), WIDTH), np.float32)
+        self.predict(of, at[0], out[:, : len(at[0])])
+        self.heads.predict(of, at[1], out[:, len(at[0]) :])
+        x, order, edges = by_gate(out)
         return x, order, edges, np.concatenate([u.byte[a] for u, a in zip(units, at, strict=True)])[order], at
 
 
@@ -646,22 +654,26 @@ def _score(heavy):
             for lo, hi, data, offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
                 n = hi - lo
                 t = Tokens(data, offs)
+                sums, rest, of_rest = np.zeros((3, n)), [], []
                 # a token's score is its key's and its head's
-                keys, inverse = np.unique(np.concatenate([t.keys(), head_keys(t.heads())]), return_inverse=True)
-                of = np.concatenate([t.row, t.row])
-                at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
-                hit = key[at] == keys if len(key) else np.zeros(len(keys), bool)
-                at, found = at[inverse], hit[inverse]
-                rest = np.flatnonzero(~found)
-                rest = rest[np.argsort(of[rest], kind="stable")]
-                light_offs = np.concatenate([[0], np.cumsum(np.bincount(of[rest], minlength=n))])
+                for ask in (t.keys, lambda: head_keys(t.heads())):
+                    keys, inverse = np.unique(ask(), return_inverse=True)
+                    at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
+                    hit = key[at] == keys if len(key) else np.zeros(len(keys), bool)
+                    found = hit[inverse]
+                    row, at = t.row[found], at[inverse[found]]
+                    for total, x in zip(sums, (known[at] > 0, np.log10(known[at] + 1.0), score[at]), strict=True):
+                        total += np.bincount(row, x, n)
+                    rest.append(keys[inverse[~found]])
+                    of_rest.append(t.row[~found])
+                of_rest = np.concatenate(of_rest)
+                rest = np.concatenate(rest)[np.argsort(of_rest, kind="stable")]
+                light_offs = np.concatenate([[0], np.cumsum(np.bincount(of_rest, minlength=n))])
                 size = np.bincount(t.row, np.where(t.lo < 0, 1, t.hi - t.lo + 1), n)
-                row, at = of[found], at[found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(t.counts, pa.int64()), pa.array(np.bincount(row, known[at] > 0, n).astype(np.int64)),
-                        pa.array(np.bincount(row, np.log10(known[at] + 1.0), n).astype(np.float64)), pa.array(size.astype(np.int64)), pa.array(np.bincount(row, score[at], n).astype(np.float64)),
-                        pa.ListArray.from_arrays(pa.array(light_offs, pa.int32()), pa.array(signed(keys[inverse[rest]]))),
+                        batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(t.counts, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(size.astype(np.int64)), pa.array(sums[2]),
+                        pa.ListArray.from_arrays(pa.array(light_offs, pa.int32()), pa.array(signed(rest))),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "heavy_known", "heavy_log", "n_bytes", "heavy_score", "light"],
                 )
