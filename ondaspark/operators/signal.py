@@ -43,17 +43,25 @@ def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once a row: a plain column that a lambda reads is put into its body, and computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def mean_of(x: Column) -> Column:
     """Mean of an array's numbers, NaN and null left out; null if none is left."""
     good = F.filter(x, lambda v: v.isNotNull() & ~F.isnan(v))
-    return F.try_divide(F.aggregate(good, F.lit(0.0), lambda a, v: a + v), F.size(good).cast("double"))
+    return let(good, lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda a, v: a + v), F.size(g).cast("double")))
 
 
 def zscore(signal: Signal) -> Signal:
     """Each channel less its mean, over its population deviation; null where the deviation is 0."""
-    centred = signal.df.withColumn("m", mean_of(F.col("x"))).withColumn("x", F.transform("x", lambda v: v - F.col("m"))).drop("m")
-    scaled = centred.withColumn("s", F.sqrt(mean_of(F.transform("x", lambda v: v * v)))).withColumn("x", F.transform("x", lambda v: F.try_divide(v, F.col("s")))).drop("s")
-    return Signal(scaled, signal.fs)
+
+    def scaled(x: Column) -> Column:
+        return let(F.sqrt(mean_of(F.transform(x, lambda v: v * v))), lambda s: F.transform(x, lambda v: F.try_divide(v, s)))
+
+    centred = let(F.col("x"), lambda x: let(mean_of(x), lambda m: F.transform(x, lambda v: v - m)))
+    return Signal(signal.df.withColumn("x", let(centred, scaled)), signal.fs)
 
 
 def zscore_long(df: DataFrame) -> DataFrame:

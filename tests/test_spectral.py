@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -31,6 +33,21 @@ def test_zscore_of_constant_is_null_and_nan_is_left_out(spark):
     assert long[1, 0] == pytest.approx(got[1][0])
 
 
+def test_zscore_takes_means_once_a_channel(spark):
+    x = np.random.default_rng(1).normal(size=(3, 1000))
+    rows = zscore(make(spark, x, 1.0)).long()
+    # a mean within the lambda of an element takes the square of the samples, and the next one its square again
+    assert not re.search(r"lambda x_\d+#\d+ [-/] (\(aggregate|SQRT)", rows._jdf.queryExecution().optimizedPlan().toString())
+    got = {(r["channel"], r["i"]): r["x"] for r in rows.collect()}
+    want = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
+    assert np.allclose([[got[c, i] for i in range(1000)] for c in range(3)], want)
+
+
+def test_zscore_of_null_and_of_nothing(spark):
+    df = spark.createDataFrame([(0, 0.0, None), (1, 0.0, []), (2, 0.0, [None, 1.0, 3.0])], "channel long, t0 double, x array<double>")
+    assert {r["channel"]: r["x"] for r in zscore(Signal(df, 1.0)).df.collect()} == {0: None, 1: [], 2: [None, -1.0, 1.0]}
+
+
 @pytest.mark.parametrize("n", [31, 32, 33, 40, 41, 64])
 def test_number_of_segments(spark, n):
     p = spectral.plan(8.0, nperseg=16)
