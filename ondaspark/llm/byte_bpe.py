@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents
+from .common import begin, bounded_batches, documents, keeps
 from .pretokens import PieceCache
 
 #: Pre-tokens and pieces whose ids a worker remembers.
@@ -145,8 +145,9 @@ _models: dict[str, ByteBPE] = {}
 
 
 def model(path: str) -> ByteBPE:
-    """One per worker process and vocabulary file."""
+    """One per worker process and vocabulary file, kept until another operator begins there."""
     if path not in _models:
+        keeps("byte_bpe", _models.clear)
         _models[path] = ByteBPE(read_ranks(path), pattern())
     return _models[path]
 
@@ -157,6 +158,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe")
         bpe = model(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
@@ -172,6 +174,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe")
         bpe = model(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -188,6 +191,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe")
         bpe = model(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,15 +100,39 @@ def in_bloom(keys: np.ndarray, bloom: bytes, bits: int = BLOOM_BITS) -> np.ndarr
 # --------------------------------------------------------------------------- Arrow batches
 
 
-#: Rows of an Arrow batch at most, so that a batch of whole texts stays at a few MB in the JVM and in Python.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch at most, so that a batch of whole texts or sets stays at a few MB in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 22
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of rows in an Arrow batch to BATCH_ROWS; a lower one stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's limits of an Arrow batch to BATCH_ROWS and BATCH_BYTES; lower ones stay."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most, number in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < number(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+# --------------------------------------------------------------------------- what a worker keeps between tasks
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Note that the operator owner keeps tables in this worker beyond its task, which drop frees."""
+    _kept[owner] = drop
+
+
+def begin(owner: str) -> None:
+    """As a worker begins a task of owner: free what other operators keep, and give memory that is free back to the system."""
+    for other in [x for x in _kept if x != owner]:
+        _kept.pop(other)()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_libc, "malloc_trim", None)) is not None:
+        trim(0)
+
+
+_libc = ctypes.CDLL(None)
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> pa.Array:

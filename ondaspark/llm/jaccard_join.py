@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, binary_column, bloom_filter, bounded_batches, chunks, delete_paths, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
+from .common import U, begin, binary_column, bloom_filter, bounded_batches, chunks, delete_paths, documents, in_bloom, lower, materialise, mix, signed, window_hashes, word_hashes
 from .components import stars
 
 WORDS = 4
@@ -66,6 +66,8 @@ MAX_SUBSETS = 500
 LEADERS = 64
 #: 64-bit words of an entity's small parity bitmap; a power of two.
 BITMAP_WORDS = 8
+#: Partitions of the signatures for each shuffle partition of the session: they are most of what is shuffled, and a task sorts its own in memory.
+SIGNATURE_PARTS = 3
 #: Fingerprints that a worker remembers, so as not to repeat the signatures of copies.
 SEEN = 200_000
 
@@ -204,6 +206,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         for batch in batches:
             sizes, prints = [], []
             for s in shingle_sets(binary_column(batch, "text"), words):
@@ -216,6 +219,7 @@ def _describe(words: int):
 
 def _sign(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         seen: set[int] = set()
         for batch in batches:
             sigs, prints, sizes, n = [], [], [], 0
@@ -256,6 +260,7 @@ def _of_entities(texts: DataFrame, wanted: DataFrame, words: int, describe, sche
     names = ["rep", "fp", *(c.split(" ")[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         for batch in batches:
             batch = batch.filter(pa.array(in_bloom(batch.column("k").to_numpy(), bloom.value)))
             ids, rows, size = batch.column("rep").to_pylist(), [], 0
@@ -328,6 +333,7 @@ _PAIR = ["a", "b", "rep_a", "rep_b"]
 
 def _check(test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         for batch in batches:
             ok = [test(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column("x_a"), batch.column("x_b"), batch.column("n").to_pylist(), strict=True)]
             yield batch.select(_PAIR).filter(pa.array(ok, pa.bool_()))
@@ -370,6 +376,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch:
 
     by_sig = Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)
     signed_ = texts.select("text").mapInArrow(_sign(words, percent), "sig long, fp long")
+    signed_ = signed_.repartition(SIGNATURE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
     groups = materialise(signed_.withColumn("leader", F.first("fp").over(by_sig)).where("leader <> fp").distinct(), scratch)
 
     pairs = materialise(groups.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), scratch)

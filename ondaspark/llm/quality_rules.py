@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U, binary_column, bounded_batches, chunks, documents, mix, prefix_hash, span_hash, window_hashes, word_spans
+from .common import _SPACE, U, begin, binary_column, bounded_batches, chunks, documents, mix, prefix_hash, span_hash, window_hashes, word_spans
 
 #: Labelled documents that are learned from, at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 12_000
@@ -129,6 +129,7 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality_rules")
         for batch in batches:
             got = statistics(binary_column(batch, "text"))
             struct = pa.StructArray.from_arrays([pa.array(got[k]) for k in COUNTS], COUNTS)

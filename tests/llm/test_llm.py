@@ -7,11 +7,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ondaspark.llm import byte_bpe, decontaminate, jaccard_join, kd_sharding, language_id, language_model, pii, quality_rules, suffix_dedup, token_files
+from ondaspark.llm import byte_bpe, common, decontaminate, jaccard_join, kd_sharding, language_id, language_model, pii, quality_rules, suffix_dedup, token_files
 
 WORDS = ["alpha", "Beta", "gamma", "delta", "ünder", "x1", "the", "of", "日本", "z"]
 
@@ -397,3 +398,30 @@ def test_keep_one_with_shared_ids(spark):
     ones = [k for k in kept if k in ((1, a), (1, a2))]
     assert len(ones) == 1
     assert sorted(kept, key=str) == sorted([*ones, (3, b2), (3, c), (1, None), (1, "")], key=str)
+
+
+def test_a_worker_frees_what_other_operators_keep():
+    path = byte_bpe.vocabulary_path()
+    byte_bpe.model(path).encode(["some words"])
+    common.begin("byte_bpe")
+    assert path in byte_bpe._models
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [b"some words of a text"]})
+    assert sum(b.num_rows for b in jaccard_join._describe(4)(iter([batch]))) == 1
+    assert not byte_bpe._models
+    assert byte_bpe.model(path).encode(["some words"])
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        common.bounded_batches(spark)
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+        got = [r["n"] for r in spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100000) AS text").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 20_000_000 and max(got) < 5_000_000
+        spark.conf.set(name, "1k")
+        common.bounded_batches(spark)
+        assert spark.conf.get(name) == "1k"
+    finally:
+        spark.conf.set(name, before)
