@@ -131,6 +131,40 @@ def head_keys(heads: np.ndarray) -> np.ndarray:
     return mix(heads + _K[5])
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, where one of each stands, number of each entry's value): np.unique without its stable sort, for any of equal entries will do."""
+    order = np.argsort(x)
+    sorted_ = x[order]
+    head = np.ones(len(x), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=head[1:])
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(head) - 1
+    return sorted_[head], order[head], inverse
+
+
+def look_up(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Where each 64-bit name stands in a sorted table, -1 if nowhere. Names are well mixed, so their first bits give the place but for a few steps."""
+    bits = max(1, len(table).bit_length())
+    first = np.zeros((1 << bits) + 1, np.int64)
+    np.cumsum(np.bincount((table >> U(64 - bits)).astype(np.int64), minlength=1 << bits), out=first[1:])
+    ended = np.append(table, ~U(0))  # what is past the end is less than no name
+    at = first[(names >> U(64 - bits)).astype(np.int64)]
+    out = np.full(len(names), -1, np.int64)
+    here = ended[at]
+    hit = here == names
+    out[hit] = at[hit]
+    left = np.flatnonzero(here < names)
+    place, want = at[left] + 1, names[left]
+    while len(left):
+        here = ended[place]
+        hit = here == want
+        out[left[hit]] = place[hit]
+        on = here < want
+        left, place, want = left[on], place[on] + 1, want[on]
+    out[out == len(table)] = -1
+    return out
+
+
 def take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the spans of data that start at lo, TAKEN spans at once."""
     offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -162,13 +196,13 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = parts[lo:hi][t.row]
             heads, inverse = np.unique(t.heads(), return_inverse=True)
             of_heads = np.bincount(inverse * (PARTS + 1) + block, minlength=len(heads) * (PARTS + 1))
-            keys, first, inverse = np.unique(t.keys(), return_index=True, return_inverse=True)
+            keys, first, inverse = distinct(t.keys())
             n = np.concatenate([np.bincount(inverse * (PARTS + 1) + block, minlength=len(keys) * (PARTS + 1)), of_heads]).reshape(-1, PARTS + 1)
             keys = np.concatenate([keys, head_keys(heads)])
             more, more_offs = t.bytes_of(first)
             more, more_offs = np.concatenate([more, heads.view(np.uint8)]), np.concatenate([more_offs, more_offs[-1] + 8 * np.arange(1, len(heads) + 1)])
             now = np.concatenate([t.before[first].astype(np.int16), np.full(len(heads), NO_TOKEN, np.int16)])
-            both, at, inverse = np.unique(np.concatenate([key, keys]), return_index=True, return_inverse=True)
+            both, at, inverse = distinct(np.concatenate([key, keys]))
             total = np.zeros((len(both), PARTS + 1), np.int64)
             total[inverse[: len(key)]] = count
             total[inverse[len(key) :]] += n
@@ -302,8 +336,8 @@ class Units:
         base = 0
         for table in (names, own):
             if len(table):
-                at = np.minimum(np.searchsorted(table, e), len(table) - 1)
-                hit = table[at] == e
+                at = look_up(table, e)
+                hit = at >= 0
                 self.spot.ravel()[want[hit]] = base + at[hit]
                 want, e = want[~hit], e[~hit]
             base += len(table)
@@ -357,7 +391,7 @@ class Chunk(Units):
             b = np.where(place >= k, b, np.where(place == k - 1, U(32), np.where(place == k - 2, before[token].astype(U), U(0))))
             low |= b << U(8 * (k - 1))
         prefix = span_hash(prefix_hash(data), offs[token], np.arange(n))
-        _, first, self.unit = np.unique(mix(prefix + low * _K[0]) + data.astype(U) * _K[2], return_index=True, return_inverse=True)
+        _, first, self.unit = distinct(mix(prefix + low * _K[0]) + data.astype(U) * _K[2])
         self.token, self.low, self.byte, self.prefix = token, low[first], data[first], prefix[first]
         self.weight = np.stack([np.bincount(self.unit, self.counts[token, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
         self.scored = place[first] >= HEAD
@@ -373,7 +407,7 @@ class Chunk(Units):
     def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context, byte, counts), each once, of all contexts but the prefixes that no other chunk has."""
         code, byte, weight = (np.concatenate(x) for x in zip(self.uses(), self.heads.uses(), strict=True))
-        _, first, inverse = np.unique(entry(code, byte), return_index=True, return_inverse=True)
+        _, first, inverse = distinct(entry(code, byte))
         counts = np.stack([np.bincount(inverse, weight[:, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
         return code[first], byte[first], counts
 

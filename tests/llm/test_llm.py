@@ -425,3 +425,16 @@ def test_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(name) == "1k"
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_look_up_and_distinct_as_numpy_has_them(n):
+    r = np.random.default_rng(n)
+    table = np.unique(np.concatenate([r.integers(0, 1 << 64, n, np.uint64), np.array([0, (1 << 64) - 1][:n], np.uint64), np.arange(5, dtype=np.uint64)[:n]]))
+    names = np.concatenate([r.permutation(table), r.integers(0, 1 << 64, 500, np.uint64), np.array([0, 7, (1 << 64) - 1], np.uint64)])
+    at = language_model.look_up(table, names)
+    known = np.isin(names, table)
+    assert np.array_equal(at >= 0, known) and np.array_equal(table[at[known]], names[known])
+    values, first, inverse = language_model.distinct(np.concatenate([names, names[: n // 2]]))
+    assert np.array_equal(values, np.unique(names)) and np.array_equal(values[inverse], np.concatenate([names, names[: n // 2]]))
+    assert np.array_equal(np.concatenate([names, names[: n // 2]])[first], values)
