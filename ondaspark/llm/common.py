@@ -104,10 +104,10 @@ def in_bloom(keys: np.ndarray, bloom: bytes, bits: int = BLOOM_BITS) -> np.ndarr
 BATCH_ROWS, BATCH_BYTES = 500, 1 << 22
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limits of an Arrow batch to BATCH_ROWS and BATCH_BYTES; lower ones stay."""
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's limits of an Arrow batch to rows and BATCH_BYTES; lower ones stay."""
     size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    for name, most, number in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, size)):
+    for name, most, number in (("maxRecordsPerBatch", rows, int), ("maxBytesPerBatch", BATCH_BYTES, size)):
         name = f"spark.sql.execution.arrow.{name}"
         if not 0 < number(spark.conf.get(name)) <= most:
             spark.conf.set(name, str(most))

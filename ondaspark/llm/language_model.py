@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, binary_column, chunks, documents, lower, materialise, mix, prefix_hash, raw, signed, span_hash, word_spans
+from .common import U, binary_column, bounded_batches, chunks, documents, lower, materialise, mix, prefix_hash, raw, signed, span_hash, word_spans
 
 FOLDS, HELD_OUT = 7, 2
 #: Most frequent keys whose counts and scores are broadcast, and most used contexts.
@@ -46,8 +46,8 @@ HEAVY, HEAVY_CONTEXTS = 1 << 19, 1 << 18
 CONTEXTS = 5
 #: Blocks of training documents, and passes of the mixer over all of them.
 PARTS, PASSES = 2, 2
-#: Bytes of text that are cut into tokens at once; keys that a task counts before it passes them on.
-TEXT_BYTES, COUNTED = 1 << 22, 1 << 20
+#: Bytes of text that are cut into tokens at once; keys that a task counts before it passes them on; rows of an Arrow batch, whose bytes are bounded, too.
+TEXT_BYTES, COUNTED, ROWS = 1 << 20, 1 << 20, 10_000
 #: Spans copied at once.
 TAKEN = 1 << 16
 #: Keys and bytes of a chunk; one token's keys stay together.
@@ -180,39 +180,58 @@ def take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
 
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct keys of a task with their tokens and their counts in each block and in held-out texts; heads likewise, before NO_TOKEN."""
-    key, count, before, data, offs = np.zeros(0, U), np.zeros((0, PARTS + 1), np.int64), np.zeros(0, np.int16), np.zeros(0, np.uint8), np.zeros(1, np.int64)
-
-    def out():
+    # (keys, counts, bytes before, tokens, offsets), each with distinct keys
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merge() -> None:
+        both, at, inverse = distinct(np.concatenate([h[0] for h in held]))
+        total, a, base = np.zeros((len(both), PARTS + 1), np.int64), 0, 0
+        starts = []
+        for key, count, _, data, offs in held:
+            total[inverse[a : a + len(key)]] += count
+            starts.append(offs[:-1] + base)
+            a, base = a + len(key), base + len(data)
+        size = np.concatenate([np.diff(h[4]) for h in held])[at]
+        data, offs = take(np.concatenate([h[3] for h in held]), np.concatenate(starts)[at], size)
+        held[:] = [(both, total, np.concatenate([h[2] for h in held])[at], data, offs)]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        key, count, before, data, offs = held.pop()
         for a in range(0, len(key), 50_000):
             b = min(a + 50_000, len(key))
             blob, part_offs = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             token = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(part_offs.tobytes()), pa.py_buffer(blob.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(signed(key[a:b])), token, pa.array(before[a:b]), *[pa.array(np.ascontiguousarray(count[a:b, i])) for i in range(PARTS + 1)]], names=["key", "token", "before", *_COUNTS])
 
+    waiting = 0
     for batch in batches:
         parts = batch.column("part").to_numpy()
         for lo, hi, text, text_offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
-            t = Tokens(text, text_offs)
-            block = parts[lo:hi][t.row]
-            heads, inverse = np.unique(t.heads(), return_inverse=True)
-            of_heads = np.bincount(inverse * (PARTS + 1) + block, minlength=len(heads) * (PARTS + 1))
-            keys, first, inverse = distinct(t.keys())
-            n = np.concatenate([np.bincount(inverse * (PARTS + 1) + block, minlength=len(keys) * (PARTS + 1)), of_heads]).reshape(-1, PARTS + 1)
-            keys = np.concatenate([keys, head_keys(heads)])
-            more, more_offs = t.bytes_of(first)
-            more, more_offs = np.concatenate([more, heads.view(np.uint8)]), np.concatenate([more_offs, more_offs[-1] + 8 * np.arange(1, len(heads) + 1)])
-            now = np.concatenate([t.before[first].astype(np.int16), np.full(len(heads), NO_TOKEN, np.int16)])
-            both, at, inverse = distinct(np.concatenate([key, keys]))
-            total = np.zeros((len(both), PARTS + 1), np.int64)
-            total[inverse[: len(key)]] = count
-            total[inverse[len(key) :]] += n
-            starts, ends = np.concatenate([offs[:-1], more_offs[:-1] + offs[-1]])[at], np.concatenate([offs[1:], more_offs[1:] + offs[-1]])[at]
-            data, offs = take(np.concatenate([data, more]), starts, ends - starts)
-            key, count, before = both, total, np.concatenate([before, now])[at]
-            if len(key) > COUNTED or len(data) > 16 * COUNTED:
-                yield from out()
-                key, count, before, data, offs = key[:0], count[:0], before[:0], data[:0], np.zeros(1, np.int64)
-    yield from out()
+            held.append(_keys_in(text, text_offs, parts[lo:hi]))
+            waiting += len(held[-1][0])
+            # what was counted is gone through once for a quarter as many new keys
+            if waiting > COUNTED // 4:
+                merge()
+                waiting = 0
+                if len(held[0][0]) > COUNTED or len(held[0][3]) > 16 * COUNTED:
+                    yield from out()
+    if held:
+        merge()
+        yield from out()
+
+
+def _keys_in(text: np.ndarray, text_offs: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and heads of some texts: (key, counts by block, byte before, tokens, their offsets)."""
+    t = Tokens(text, text_offs)
+    block = parts[t.row]
+    heads, inverse = np.unique(t.heads(), return_inverse=True)
+    of_heads = np.bincount(inverse * (PARTS + 1) + block, minlength=len(heads) * (PARTS + 1))
+    keys, first, inverse = distinct(t.keys())
+    n = np.concatenate([np.bincount(inverse * (PARTS + 1) + block, minlength=len(keys) * (PARTS + 1)), of_heads]).reshape(-1, PARTS + 1)
+    data, offs = t.bytes_of(first)
+    data, offs = np.concatenate([data, heads.view(np.uint8)]), np.concatenate([offs, offs[-1] + 8 * np.arange(1, len(heads) + 1)])
+    before = np.concatenate([t.before[first].astype(np.int16), np.full(len(heads), NO_TOKEN, np.int16)])
+    return np.concatenate([keys, head_keys(heads)]), n, before, data, offs
 
 
 NO_TOKEN = -1
@@ -512,7 +531,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keys_of(docs: DataFrame) -> DataFrame:
     """(chunk, packed keys and heads) of all documents, sorted by token."""
     rows = docs.select(F.col("text").cast("binary").alias("text"), part().alias("part")).mapInArrow(_count_keys, KEY_SCHEMA)
-    keys = rows.groupBy("key").agg(F.first("token").alias("token"), F.first("before").alias("before"), *[F.sum(c).alias(c) for c in _COUNTS])
+    # tasks pass keys on counted, so they are dealt as they are: an aggregate before the exchange would sort them in vain
+    keys = rows.repartition("key").groupBy("key").agg(F.first("token").alias("token"), F.first("before").alias("before"), *[F.sum(c).alias(c) for c in _COUNTS])
     ranged = keys.withColumn("head", F.substring("token", 1, 256)).repartitionByRange("head").drop("head").sortWithinPartitions("token", "before")
     return materialise(ranged.mapInArrow(_pack, CHUNK_SCHEMA).withColumn("chunk", F.monotonically_increasing_id()))
 
@@ -729,6 +749,8 @@ def heavy_rows(table: DataFrame, limit: int) -> tuple[int, pa.Table]:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, a row per document."""
     send = docs.sparkSession.sparkContext.broadcast
+    # texts and chunks pass to Python a few MB at a time
+    bounded_batches(docs.sparkSession, ROWS)
     packed = keys_of(docs)
     n, v = packed.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
     packed, *entries = gather(packed)

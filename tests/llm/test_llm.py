@@ -438,3 +438,42 @@ def test_look_up_and_distinct_as_numpy_has_them(n):
     values, first, inverse = language_model.distinct(np.concatenate([names, names[: n // 2]]))
     assert np.array_equal(values, np.unique(names)) and np.array_equal(values[inverse], np.concatenate([names, names[: n // 2]]))
     assert np.array_equal(np.concatenate([names, names[: n // 2]])[first], values)
+
+
+@pytest.mark.parametrize("counted", [1 << 20, 40])
+def test_keys_are_counted_in_bounded_memory(counted, monkeypatch):
+    import tracemalloc
+    from collections import Counter
+
+    monkeypatch.setattr(language_model, "COUNTED", counted)
+    r = random.Random(3)
+    texts = [" ".join(f"{r.choice(WORDS)}{r.randrange(50)}" for _ in range(60_000 if counted > 40 else 30)) for _ in range(12)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t.encode() for t in texts], pa.binary()), "part": pa.array([i % 3 for i in range(12)], pa.int32())})
+    tracemalloc.start()
+    try:
+        got = [x for b in language_model._count_keys(iter([batch])) for x in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    seen, want = Counter(), Counter()
+    for x in got:
+        if x["before"] != language_model.NO_TOKEN:
+            seen.update({(x["token"], x["before"], i): x[f"c{i}"] for i in range(3) if x[f"c{i}"]})
+    for i, t in enumerate(texts):
+        last = 32
+        for w in [*(w.encode() for w in t.lower().split(" ")), None]:
+            want[b"\n" if w is None else w + b" ", last, i % 3] += 1
+            last = last if w is None else w[-1]
+    assert seen == want
+    # 5 MB of texts
+    assert peak < 130e6
+
+
+def test_keys_are_dealt_without_sorting_them_first(spark, texts, capsys):
+    seen = []
+    docs = table(spark, texts)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_model, "materialise", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()))
+        language_model.keys_of(docs)
+    at = seen[0].index("hashpartitioning(key")
+    assert "Aggregate" in seen[0][:at] and "Aggregate" not in seen[0][at:]
