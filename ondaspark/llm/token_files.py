@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_alphabet
 from .common import U, bounded_batches, documents, mix, scratch_dir
-from .pretokens import PieceCache
+from .pretokens import PieceTable
 
 #: Ids in a block, at which the next one begins.
 BLOCK_IDS = 1 << 19
@@ -64,6 +64,8 @@ def tokenizer_path() -> str:
 _encoders: dict[str, tuple] = {}
 #: Pieces of these characters alone, whose classes no version of Unicode has changed, are cut here; others are left to the library.
 _PLAIN = re.compile(" [!-~\u00a1-\u024f](?:[\n!-~\u00a1-\u024f]*[!-~\u00a1-\u024f])?")
+#: Those of them that are letters after the space are one pre-token.
+_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Fixed value: the library's byte-level pattern.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker remembers.
@@ -78,13 +80,17 @@ class PieceEncoder:
 
         self.whole = lambda x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
         self.find, self.tokenize = regex.compile(_BYTE_LEVEL).findall, tokenizer.model.tokenize
-        self.table = str.maketrans(dict(zip((chr(b) for b in range(256)), byte_alphabet(), strict=True)))
+        letters = byte_alphabet()
+        self.table, self.between = str.maketrans(dict(zip((chr(b) for b in range(256)), letters, strict=True))), letters[0]
         self.seen: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, plain = [b""] * len(texts), []
+        out, words, plain = [b""] * len(texts), [], []
+        is_word, is_plain = _WORD.fullmatch, _PLAIN.fullmatch
         for i, x in enumerate(texts):
-            if _PLAIN.fullmatch(x):
+            if is_word(x):
+                words.append(i)
+            elif is_plain(x):
                 plain.append(i)
             elif x:
                 out[i] = self.whole(x)
@@ -92,21 +98,24 @@ class PieceEncoder:
         tokens = self.find("".join([texts[i] for i in plain]))
         if len(self.seen) > CACHE_TOKENS:
             self.seen.clear()
+        self._learn({texts[i] for i in words}.union(tokens).difference(self.seen))
         seen = self.seen
-        for t in set(tokens).difference(seen):
-            seen[t] = array("I", [x.id for x in self.tokenize(t.encode().decode("latin-1").translate(self.table))]).tobytes()
-        at = iter(plain)
-        i, parts = -1, []
-        for t in tokens:
-            if t[0] == " ":
-                if parts:
-                    out[i] = b"".join(parts)
-                i, parts = next(at), []
-            parts.append(seen[t])
-        if parts:
-            out[i] = b"".join(parts)
+        for i in words:
+            out[i] = seen[texts[i]]
+        ids = [seen[t] for t in tokens]
+        edges = [*(k for k, t in enumerate(tokens) if t[0] == " "), len(tokens)]
+        for i, a, b in zip(plain, edges[:-1], edges[1:], strict=True):
+            out[i] = b"".join(ids[a:b])
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        """Ids of pre-tokens, whose bytes are mapped to the library's characters all at once; none holds a null character."""
+        if new:
+            order = list(new)
+            mapped = "\0".join(order).encode().decode("latin-1").translate(self.table).split(self.between)
+            tokenize = self.tokenize
+            self.seen.update(zip(order, [array("I", [x.id for x in tokenize(m)]).tobytes() for m in mapped], strict=True))
+
 
 def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
     """Texts to packed 32-bit ids, as the tokenizers library encodes them without adding special tokens; and the vocabulary's size."""
@@ -123,7 +132,7 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
         # texts are cut for a bare byte-level tokenizer only; another one's are encoded whole
         bare = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not kind["model"].get("dropout")
         pieces = PieceEncoder(t)
-        cache = PieceCache(pieces)
+        cache = PieceTable(pieces)
 
         def encode(texts: list[str]) -> list[bytes]:
             cut = [bare and not any(a in x for a in added) for x in texts]

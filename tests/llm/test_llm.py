@@ -477,3 +477,28 @@ def test_keys_are_dealt_without_sorting_them_first(spark, texts, capsys):
         language_model.keys_of(docs)
     at = seen[0].index("hashpartitioning(key")
     assert "Aggregate" in seen[0][:at] and "Aggregate" not in seen[0][at:]
+
+
+@pytest.mark.parametrize("limit", [4, 50, 100_000])
+def test_piece_table_encodes_as_the_library_does(texts, limit, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from ondaspark.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "TABLE_CHARS", 200)
+    tok = Tokenizer.from_file(token_files.tokenizer_path())
+    calls = []
+    encoder = token_files.PieceEncoder(tok)
+    cache = pretokens.PieceTable(lambda x: calls.extend(x) or encoder(x), limit)
+    r = random.Random(limit)
+    odd = ["a b\0 b b\0\0 \0", " a", "a ", " ", "\n", "a \n b", "a  b", "x " + "y" * 23 + " " + "y" * 24 + " z", "é ö ſ × a× ÷b 日本 it's don't.", "one\ttwo three", "one two   three", "word, word. Word\nnext word"]
+    known = [t or "" for t in texts if "<|" not in (t or "")] + odd
+    for _ in range(4):
+        some = [r.choice(known) for _ in range(r.randrange(1, 40))]
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in cache.many(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+    assert cache.many([]) == [] and cache.many(["", ""]) == [b"", b""]
+    if limit == 100_000:
+        cache.many(["alpha beta alpha beta, gamma"])
+        calls.clear()
+        cache.many(["alpha beta, gamma beta alpha", "alpha alpha"])
+        assert calls == ["alpha", "alpha"]
