@@ -48,6 +48,8 @@ CONTEXTS = 5
 PARTS, PASSES = 2, 2
 #: Bytes of text that are cut into tokens at once; keys that a task counts before it passes them on; rows of an Arrow batch, whose bytes are bounded, too.
 TEXT_BYTES, COUNTED, ROWS = 1 << 20, 1 << 20, 10_000
+#: Entries whose distinct values are found by hash.
+HASHED = 1 << 20
 #: Spans copied at once.
 TAKEN = 1 << 16
 #: Keys and bytes of a chunk; one token's keys stay together.
@@ -142,12 +144,27 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_[head], order[head], inverse
 
 
-def look_up(table: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Where each 64-bit name stands in a sorted table, -1 if nowhere. Names are well mixed, so their first bits give the place but for a few steps."""
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct value stands, number of each entry's value): up to HASHED entries are hashed, more are sorted, which takes less memory."""
+    if len(x) > HASHED:
+        return distinct(x)[1:]
+    inverse = pa.array(signed(x)).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(inverse.max()) + 1 if len(x) else 0, np.int64)
+    first[inverse[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return first, inverse
+
+
+def index_of(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, where the names with these first bits begin in a sorted table, the table and an end), for look_up."""
     bits = max(1, len(table).bit_length())
     first = np.zeros((1 << bits) + 1, np.int64)
     np.cumsum(np.bincount((table >> U(64 - bits)).astype(np.int64), minlength=1 << bits), out=first[1:])
-    ended = np.append(table, ~U(0))  # what is past the end is less than no name
+    return bits, first, np.append(table, ~U(0))  # what is past the end is less than no name
+
+
+def look_up(table: np.ndarray, names: np.ndarray, index: tuple[int, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Where each 64-bit name stands in a sorted table, -1 if nowhere. Names are well mixed, so their first bits give the place but for a few steps."""
+    bits, first, ended = index or index_of(table)
     at = first[(names >> U(64 - bits)).astype(np.int64)]
     out = np.full(len(names), -1, np.int64)
     here = ended[at]
@@ -180,53 +197,78 @@ def take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
 
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct keys of a task with their tokens and their counts in each block and in held-out texts; heads likewise, before NO_TOKEN."""
-    # (keys, counts, bytes before, tokens, offsets), each with distinct keys
+    # (keys, counts, bytes before, tokens, offsets), each with distinct keys: those that wait, and what was merged of them, in which no key stands twice
+    new: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[np.ndarray, ...]] = []
+    # the sorted keys of all held ones, and where each is counted
+    names, place, index = np.zeros(0, U), np.zeros(0, np.int64), index_of(np.zeros(0, U))
+    counted = np.zeros((0, PARTS + 1), np.int64)
 
     def merge() -> None:
-        both, at, inverse = distinct(np.concatenate([h[0] for h in held]))
-        total, a, base = np.zeros((len(both), PARTS + 1), np.int64), 0, 0
-        starts = []
-        for key, count, _, data, offs in held:
-            total[inverse[a : a + len(key)]] += count
-            starts.append(offs[:-1] + base)
-            a, base = a + len(key), base + len(data)
-        size = np.concatenate([np.diff(h[4]) for h in held])[at]
-        data, offs = take(np.concatenate([h[3] for h in held]), np.concatenate(starts)[at], size)
-        held[:] = [(both, total, np.concatenate([h[2] for h in held])[at], data, offs)]
+        nonlocal new, names, place, index, counted
+        key = np.concatenate([h[0] for h in new])
+        both, at, inverse = distinct(key)
+        total = np.concatenate([h[1] for h in new])
+        total = np.stack([np.bincount(inverse, total[:, i], len(both)) for i in range(PARTS + 1)], axis=1).astype(np.int64)
+        base = np.cumsum([0, *[len(h[3]) for h in new]])
+        starts = np.concatenate([h[4][:-1] + b for h, b in zip(new, base, strict=False)])[at]
+        size = np.concatenate([np.diff(h[4]) for h in new])[at]
+        data, offs = take(np.concatenate([h[3] for h in new]), starts, size)
+        held.append((both, np.concatenate([h[2] for h in new])[at], data, offs))
+        new = []
+        spot = np.searchsorted(names, both)
+        names, place = np.insert(names, spot, both), np.insert(place, spot, len(counted) + np.arange(len(both)))
+        counted, index = np.concatenate([counted, total]), index_of(names)
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, count, before, data, offs = held.pop()
-        for a in range(0, len(key), 50_000):
-            b = min(a + 50_000, len(key))
-            blob, part_offs = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-            token = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(part_offs.tobytes()), pa.py_buffer(blob.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[a:b])), token, pa.array(before[a:b]), *[pa.array(np.ascontiguousarray(count[a:b, i])) for i in range(PARTS + 1)]], names=["key", "token", "before", *_COUNTS])
+        nonlocal names, place, index, counted
+        base = 0
+        for key, before, data, offs in held:
+            for a in range(0, len(key), 50_000):
+                b = min(a + 50_000, len(key))
+                blob, part_offs = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                token = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(part_offs.tobytes()), pa.py_buffer(blob.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[a:b])), token, pa.array(before[a:b]), *[pa.array(np.ascontiguousarray(counted[base + a : base + b, i])) for i in range(PARTS + 1)]], names=["key", "token", "before", *_COUNTS])
+            base += len(key)
+        held.clear()
+        names, place, counted = names[:0], place[:0], counted[:0]
+        index = index_of(names)
 
     waiting = 0
     for batch in batches:
         parts = batch.column("part").to_numpy()
         for lo, hi, text, text_offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
-            held.append(_keys_in(text, text_offs, parts[lo:hi]))
-            waiting += len(held[-1][0])
-            # what was counted is gone through once for a quarter as many new keys
+            key, count, before, data, offs = _keys_in(text, text_offs, parts[lo:hi])
+            at = look_up(names, key, index)
+            hit = at >= 0
+            # the keys are distinct, so no place is met twice
+            counted[place[at[hit]]] += count[hit]
+            rest = np.flatnonzero(~hit)
+            data, rest_offs = take(data, offs[:-1][rest], np.diff(offs)[rest])
+            new.append((key[rest], count[rest], before[rest], data, rest_offs))
+            waiting += len(rest)
+            # keys that are not held yet wait until they are a quarter as many
             if waiting > COUNTED // 4:
                 merge()
                 waiting = 0
-                if len(held[0][0]) > COUNTED or len(held[0][3]) > 16 * COUNTED:
+                if len(names) > COUNTED or sum(len(h[2]) for h in held) > 16 * COUNTED:
                     yield from out()
-    if held:
+    if new:
         merge()
-        yield from out()
+    yield from out()
 
 
 def _keys_in(text: np.ndarray, text_offs: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys and heads of some texts: (key, counts by block, byte before, tokens, their offsets)."""
     t = Tokens(text, text_offs)
     block = parts[t.row]
-    heads, inverse = np.unique(t.heads(), return_inverse=True)
+    heads = t.heads()
+    first, inverse = grouped(heads)
+    heads = heads[first]
     of_heads = np.bincount(inverse * (PARTS + 1) + block, minlength=len(heads) * (PARTS + 1))
-    keys, first, inverse = distinct(t.keys())
+    keys = t.keys()
+    first, inverse = grouped(keys)
+    keys = keys[first]
     n = np.concatenate([np.bincount(inverse * (PARTS + 1) + block, minlength=len(keys) * (PARTS + 1)), of_heads]).reshape(-1, PARTS + 1)
     data, offs = t.bytes_of(first)
     data, offs = np.concatenate([data, heads.view(np.uint8)]), np.concatenate([offs, offs[-1] + 8 * np.arange(1, len(heads) + 1)])
@@ -296,6 +338,17 @@ def paths(code: np.ndarray, byte: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """
     out = np.empty((len(code), counts.shape[1], WIDTH), np.float16)
     new = np.concatenate([[True], code[1:] != code[:-1]])
+    # a context that only one byte followed says the same of each bit but for the sign
+    alone = new & np.append(new[1:], True)
+    total = counts[alone]
+    x = stretched(total, total).astype(np.float16).view(np.uint16)
+    out.view(np.uint16)[alone, :, :8] = x[:, :, None] ^ ((1 - np.unpackbits(byte[alone].astype(np.uint8)[:, None], axis=1)[:, None, :].astype(np.uint16)) << 15)
+    out[alone, :, 8] = np.log2(total + 1.0)
+    rest = np.flatnonzero(~alone)
+    if not len(rest):
+        return out
+    new, byte, counts = new[rest], byte[rest], counts[rest]
+    some = np.empty((len(rest), counts.shape[1], WIDTH), np.float16)
     whole = None
     for j in range(9):
         near = byte >> (8 - j)
@@ -303,15 +356,21 @@ def paths(code: np.ndarray, byte: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.add.reduceat(counts, np.flatnonzero(head))[np.cumsum(head) - 1]
         if whole is not None:
             bit = ((byte >> (8 - j)) & 1 == 1)[:, None]
-            n = whole.astype(np.float32)
-            odds = (total + np.float32(0.4)) / (whole - total + np.float32(0.4))
-            out[:, :, j - 1] = np.where(bit, 1, -1) * np.log(odds.astype(np.float32)) * (n / (n + np.float32(1.5)))
+            some[:, :, j - 1] = np.where(bit, 1, -1) * stretched(total, whole)
         else:
-            out[:, :, 8] = np.log2(total + 1.0)
+            some[:, :, 8] = np.log2(total + 1.0)
         whole = total
+    out[rest] = some
     return out
 
 
+def stretched(total: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The stretched prediction of a bit that total of whole bytes have."""
+    n = whole.astype(np.float32)
+    odds = (total + np.float32(0.4)) / (whole - total + np.float32(0.4))
+    return np.log(odds.astype(np.float32)) * (n / (n + np.float32(1.5))).astype(np.float64)
+
+
 def with_sum(counts: np.ndarray) -> np.ndarray:
     """Counts of each block and of all."""
     return np.concatenate([counts, counts.sum(axis=1, keepdims=True)], axis=1)
@@ -345,47 +404,48 @@ class Units:
         unit = at % max(len(self.low), 1)
         return np.concatenate(self.codes())[at], self.byte[unit], self.weight[unit] * counted[:, None]
 
-    def locate(self, names: np.ndarray, x: np.ndarray, row: dict) -> Units:
-        """Find the predictions of all units once: among the broadcast entries (names and x), or the joined ones of row."""
+    def locate(self, names: np.ndarray, x: np.ndarray, row: dict, index: tuple | None = None) -> Units:
+        """Fetch the predictions of all units once: from the broadcast entries (names and x; index_of them), or the joined ones of row."""
         own, own_x = np.frombuffer(row["light"] or b"", U), np.frombuffer(row["light_x"] or b"", np.float16).reshape(-1, PARTS + 1, WIDTH)
         n = len(self.low)
-        self.spot = np.full((CONTEXTS, n), -1, np.int64)
+        # halves, by predictor, unit and block; no count is zero in all of them
+        self.x = np.zeros((CONTEXTS * n, (PARTS + 1) * WIDTH), np.uint16)
         want, _ = self.found()
         e = entry(np.concatenate(self.codes())[want], self.byte[want % max(n, 1)])
-        base = 0
-        for table in (names, own):
+        for table, of, near in ((names, x, index), (own, own_x, None)):
             if len(table):
-                at = look_up(table, e)
+                at = look_up(table, e, near)
                 hit = at >= 0
-                self.spot.ravel()[want[hit]] = base + at[hit]
+                into, at, of = want[hit], at[hit], of.view(np.uint16).reshape(len(table), -1)
                 want, e = want[~hit], e[~hit]
-            base += len(table)
-        self.tables = [x, own_x]
+                for a in range(0, len(at), TAKEN):
+                    self.x[into[a : a + TAKEN]] = of.take(at[a : a + TAKEN], axis=0)
         return self
 
     def predict(self, of: int, at: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Fill out, (CONTEXTS, units at, WIDTH) of zeros, from the counts of block of (PARTS: of all)."""
-        spot = self.spot[:, at]
-        base = 0
-        for table in self.tables:
-            here = (spot >= base) & (spot < base + len(table))
-            out[here] = table[spot[here] - base, of]
-            base += len(table)
+        """Fill out, (CONTEXTS, units at, WIDTH), with the bits of halves, from the counts of block of (PARTS: of all)."""
+        x = self.x.reshape(CONTEXTS, len(self.low), PARTS + 1, WIDTH)
+        for k in range(CONTEXTS):
+            out[k] = x[k, at, of]
         return out
 
     def inputs(self, of: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(stretched predictions (CONTEXTS, 8, units) from the counts of block of (PARTS: of all), units, edges): the units at, by gate, and the edges of the gates' runs."""
-        x, order, edges = by_gate(self.predict(of, at, np.zeros((CONTEXTS, len(at), WIDTH), np.float32)))
+        x, order, edges = by_gate(self.predict(of, at, np.empty((CONTEXTS, len(at), WIDTH), np.uint16)))
         return x, at[order], edges
 
 
+#: Of each half, by its bits.
+HALVES = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+
+
 def by_gate(out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretched predictions (CONTEXTS, 8, units), order, edges of the gates' runs)."""
-    gate = np.minimum(np.ceil(out[-1, :, 8] / 2), 7).astype(np.int8)
+    gate = np.minimum(np.ceil(HALVES.take(out[-1, :, 8]) / 2), 7).astype(np.int8)
     order = np.argsort(gate, kind="stable")
     x = np.empty((CONTEXTS, 8, len(order)), np.float32)
     for k in range(CONTEXTS):
-        x[k] = out[k, order, :8].T
+        x[k] = HALVES.take(out[k].take(order, axis=0)[:, :8].T)
     return x, order, np.searchsorted(gate[order], np.arange(9))
 
 
@@ -399,24 +459,46 @@ class Chunk(Units):
         self.keys = np.frombuffer(row["keys"], np.int64)
         self.counts = np.frombuffer(row["counts"], np.int64).reshape(-1, PARTS + 1)
         self.offs = offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.type = same_as_before(data, offs)
         n = len(data)
-        token = np.repeat(np.arange(len(size)), size)
+        self.token = token = np.repeat(np.arange(len(size)), size)
         place = np.arange(n) - offs[token]
-        low = np.zeros(n, U)  # the last four bytes: before the token a space, then the last byte of the token before it, then nothing
+        # tokens are sorted, so a prefix is new where a token leaves the one before it
+        prior = np.concatenate([[0], size[:-1]])[: len(size)]
+        same = place < prior[token]
+        same &= data[np.arange(n) - prior[token]] == data
+        shared = np.minimum.reduceat(np.where(same, n, place), offs[:-1]) if n else size
+        self.type = np.cumsum(shared < n) - 1
+        # bytes by place, then in the order of tokens: equal prefixes stand together, and their bytes are sorted
+        order = np.argsort(place.astype(np.uint16) if n and size.max() < 1 << 16 else place, kind="stable")
+        new = (place >= shared[token])[order]
+        edges = np.cumsum([0, *[int(np.count_nonzero(size > p)) for p in range(3)]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            # up to the third byte the last four bytes reach the one before the token's space
+            both = (np.cumsum(new[a:b]) << 8) | before[token[order[a:b]]]
+            again = np.argsort(both)
+            order[a:b], both = order[a:b][again], both[again]
+            new[a:b] = np.concatenate([[True], both[1:] != both[:-1]])[: b - a]
+        unit = np.cumsum(new) - 1
+        self.unit = np.empty(n, np.int64)
+        self.unit[order] = unit
+        first = order[new]
+        weights = [np.bincount(unit, self.counts[:, i].astype(np.float64)[token[order]], len(first)) for i in range(PARTS)]
+        place, of = place[first], token[first]
+        del same, order, new, unit
+        low = np.zeros(len(first), U)  # the last four bytes: before the token a space, then the last byte of the token before it, then nothing
         for k in range(1, 5):
-            b = np.zeros(n, U)
-            b[k:] = data[: max(n - k, 0)][: len(b[k:])]
-            b = np.where(place >= k, b, np.where(place == k - 1, U(32), np.where(place == k - 2, before[token].astype(U), U(0))))
-            low |= b << U(8 * (k - 1))
-        prefix = span_hash(prefix_hash(data), offs[token], np.arange(n))
-        _, first, self.unit = distinct(mix(prefix + low * _K[0]) + data.astype(U) * _K[2])
-        self.token, self.low, self.byte, self.prefix = token, low[first], data[first], prefix[first]
-        self.weight = np.stack([np.bincount(self.unit, self.counts[token, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
-        self.scored = place[first] >= HEAD
+            b = np.where(place >= k, data[np.maximum(first - k, 0)], np.where(place == k - 1, 32, np.where(place == k - 2, before[of], 0)))
+            low |= b.astype(U) << U(8 * (k - 1))
+        hashes = prefix_hash(data)
+        self.low, self.byte, self.prefix = low, data[first], span_hash(hashes, offs[of], first)
+        self.weight = np.stack(weights, axis=1).astype(np.int64)
+        self.scored = place >= HEAD
         # prefixes of the first and of the last token may go on in other chunks, and heads stand in any chunk
-        ends = np.concatenate([prefix[: size[0]], prefix[offs[-2] :]]) if len(size) else prefix
-        self.open = np.isin(self.prefix, ends) | ~self.scored
+        self.open = ~self.scored
+        for t in (0, -1) if n else ():
+            length = int(size[t])
+            ends = span_hash(hashes, np.full(length, offs[:-1][t]), offs[:-1][t] + np.arange(length))
+            self.open |= (place < length) & (self.prefix == ends[np.minimum(place, length - 1)])
 
     def found(self) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.low)
@@ -426,29 +508,28 @@ class Chunk(Units):
     def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context, byte, counts), each once, of all contexts but the prefixes that no other chunk has."""
         code, byte, weight = (np.concatenate(x) for x in zip(self.uses(), self.heads.uses(), strict=True))
-        _, first, inverse = distinct(entry(code, byte))
+        first, inverse = grouped(entry(code, byte))
         counts = np.stack([np.bincount(inverse, weight[:, i], len(first)) for i in range(PARTS)], axis=1).astype(np.int64)
         return code[first], byte[first], counts
 
-    def locate(self, names: np.ndarray, x: np.ndarray, row: dict) -> Chunk:
-        """Find the predictions of all units once, also from the chunk's own counts, and those of its heads."""
-        super().locate(names, x, row)
-        self.heads.locate(names, x, row)
-        base = sum(len(table) for table in self.tables)
+    def locate(self, names: np.ndarray, x: np.ndarray, row: dict, index: tuple | None = None) -> Chunk:
+        """Fetch the predictions of all units once, also from the chunk's own counts, and those of its heads."""
+        super().locate(names, x, row, index)
+        self.heads.locate(names, x, row, index)
         rest = np.flatnonzero(~self.open)
         if len(rest):
-            order = rest[np.lexsort((self.byte[rest], self.prefix[rest]))]
-            code, byte = self.prefix[order], self.byte[order]
+            # units stand by prefix and byte
+            code, byte = self.prefix[rest], self.byte[rest]
             head = np.concatenate([[True], (code[1:] != code[:-1]) | (byte[1:] != byte[:-1])])
-            self.tables.append(paths(code[head], byte[head], np.add.reduceat(with_sum(self.weight)[order], np.flatnonzero(head))))
-            self.spot[-1, order] = base + np.cumsum(head) - 1
+            own = paths(code[head], byte[head], np.add.reduceat(with_sum(self.weight)[rest], np.flatnonzero(head)))
+            self.x[(CONTEXTS - 1) * len(self.low) + rest] = own.view(np.uint16).reshape(len(own), -1).take(np.cumsum(head) - 1, axis=0)
         return self
 
     def scored_inputs(self, of: int, block: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """(stretched predictions, order, edges, bytes, units of chunk and heads) of all scored units, or those with a weight in block; bytes are in order."""
         units = [self, self.heads]
         at = [np.flatnonzero(u.scored if block is None else u.scored & (u.weight[:, block] > 0)) for u in units]
-        out = np.zeros((CONTEXTS, len(at[0]) + len(at[1]), WIDTH), np.float32)
+        out = np.empty((CONTEXTS, len(at[0]) + len(at[1]), WIDTH), np.uint16)
         self.predict(of, at[0], out[:, : len(at[0])])
         self.heads.predict(of, at[1], out[:, len(at[0]) :])
         x, order, edges = by_gate(out)
@@ -532,7 +613,8 @@ def keys_of(docs: DataFrame) -> DataFrame:
     """(chunk, packed keys and heads) of all documents, sorted by token."""
     rows = docs.select(F.col("text").cast("binary").alias("text"), part().alias("part")).mapInArrow(_count_keys, KEY_SCHEMA)
     # tasks pass keys on counted, so they are dealt as they are: an aggregate before the exchange would sort them in vain
-    keys = rows.repartition("key").groupBy("key").agg(F.first("token").alias("token"), F.first("before").alias("before"), *[F.sum(c).alias(c) for c in _COUNTS])
+    # a key's token and byte before are grouped by, not taken from the first row, which Spark can't do but by sorting
+    keys = rows.repartition("key").groupBy("key", "token", "before").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     ranged = keys.withColumn("head", F.substring("token", 1, 256)).repartitionByRange("head").drop("head").sortWithinPartitions("token", "before")
     return materialise(ranged.mapInArrow(_pack, CHUNK_SCHEMA).withColumn("chunk", F.monotonically_increasing_id()))
 
@@ -640,9 +722,10 @@ def nodes(byte: np.ndarray, j: int) -> np.ndarray:
 def _sums(model: Mixer, entries, mapped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, least = None, None
+        index = index_of(entries.value[0])
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row).locate(*entries.value, row)
+                c = Chunk(row).locate(*entries.value, row, index)
                 for b in range(PARTS):
                     # with two blocks, the counts of all others are those of the other one
                     x, order, edges, byte, at = c.scored_inputs(1 - b, b)
@@ -682,9 +765,10 @@ def train(packed: DataFrame, entries) -> Mixer:
 
 def _score_keys(model: Mixer, entries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of(entries.value[0])
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row).locate(*entries.value, row)
+                c = Chunk(row).locate(*entries.value, row, index)
                 x, order, edges, byte, at = c.scored_inputs(PARTS)
                 log, own = np.empty(len(order)), np.zeros(len(c.byte))
                 log[order] = model.log10(x, edges, byte)
@@ -704,6 +788,7 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, heavy_known long,
 def _score(heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, known, score = heavy.value
+        index = index_of(key)
         for batch in batches:
             for lo, hi, data, offs in chunks(binary_column(batch, "text"), TEXT_BYTES):
                 n = hi - lo
@@ -711,9 +796,11 @@ def _score(heavy):
                 sums, rest, of_rest = np.zeros((3, n)), [], []
                 # a token's score is its key's and its head's
                 for ask in (t.keys, lambda: head_keys(t.heads())):
-                    keys, inverse = np.unique(ask(), return_inverse=True)
-                    at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
-                    hit = key[at] == keys if len(key) else np.zeros(len(keys), bool)
+                    keys = ask()
+                    first, inverse = grouped(keys)
+                    keys = keys[first]
+                    at = look_up(key, keys, index)
+                    hit = at >= 0
                     found = hit[inverse]
                     row, at = t.row[found], at[inverse[found]]
                     for total, x in zip(sums, (known[at] > 0, np.log10(known[at] + 1.0), score[at]), strict=True):

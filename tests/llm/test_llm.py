@@ -479,6 +479,52 @@ def test_keys_are_dealt_without_sorting_them_first(spark, texts, capsys):
     assert "Aggregate" in seen[0][:at] and "Aggregate" not in seen[0][at:]
 
 
+def test_keys_are_summed_without_a_sort(spark, texts, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_model, "materialise", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()))
+    language_model.keys_of(table(spark, texts))
+    assert "HashAggregate" in seen[0] and "SortAggregate" not in seen[0]
+
+
+def test_counted_keys_are_not_sorted_again(monkeypatch):
+    monkeypatch.setattr(language_model, "COUNTED", 4000)
+    monkeypatch.setattr(language_model, "TEXT_BYTES", 1000)
+    r, sorted_, distinct = random.Random(5), [], language_model.distinct
+    texts = [" ".join(f"{r.choice(WORDS)}{r.randrange(9)}" for _ in range(100)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t.encode() for t in texts], pa.binary()), "part": pa.array([i % 3 for i in range(300)], pa.int32())})
+    monkeypatch.setattr(language_model, "distinct", lambda x: (sorted_.append(len(x)), distinct(x))[1])
+    got = [x for b in language_model._count_keys(iter([batch])) for x in b.to_pylist()]
+    assert sum(x[f"c{i}"] for x in got if x["before"] != language_model.NO_TOKEN for i in range(3)) == 300 * 101
+    assert len({x["key"] for x in got}) == len(got) and sum(sorted_) < 3 * len(got)
+
+
+def test_units_of_a_chunk_are_its_distinct_contexts(monkeypatch):
+    from collections import Counter
+
+    r = random.Random(8)
+    tokens = sorted({(b"\n" if w is None else w + b" ", before) for before in b"ab " for w in [None, b"a", b"ab", b"abc", b"abcd", b"abd", b"b", b"x" * 70_000, b"x" * 69_999 + b"y", b"\xff\xfe", b"abcdef", b"zq", *[bytes(r.choices(b"abc", k=r.randrange(1, 7))) for _ in range(40)]] if r.random() < 0.8})
+    counts = np.array([[r.randrange(4) for _ in range(3)] for _ in tokens], np.int64)
+    row = {"tokens": b"".join(t for t, _ in tokens), "sizes": np.array([len(t) for t, _ in tokens], np.int32).tobytes(), "befores": bytes(b for _, b in tokens), "keys": np.arange(len(tokens)).tobytes(), "counts": counts.tobytes(), "heads": b"", "head_counts": b""}
+    monkeypatch.setattr(language_model, "distinct", None)  # its bytes are not sorted
+    chunk = language_model.Chunk(row)
+    places, want = [], Counter()
+    for (token, before), c in zip(tokens, counts.tolist(), strict=True):
+        back = bytes([0, 0, 0, before, 32])
+        for p in range(len(token)):
+            last = (back + token[max(p - 4, 0) : p])[-4:]
+            places.append((p if p > 9 else token[:p], token[:1] + last, token[p]))
+            want[places[-1]] += c[0]
+    assert len(places) == len(chunk.unit) and len(set(places)) == len(set(zip(places, chunk.unit.tolist(), strict=True))) == len(chunk.byte)
+    assert all(chunk.weight[u, 0] == want[x] for x, u in zip(places, chunk.unit.tolist(), strict=True))
+    ends = [tokens[0][0], tokens[-1][0]]
+    start = [token[:p] for token, _ in tokens for p in range(len(token)) if len(token) < 99]
+    spot = [chunk.offs[i] + p for i, (token, _) in enumerate(tokens) for p in range(len(token)) if len(token) < 99]
+    for at, prefix in zip(spot, start, strict=True):
+        assert chunk.open[chunk.unit[at]] == (len(prefix) < 2 or any(e.startswith(prefix) and e != prefix for e in ends))
+        assert chunk.low[chunk.unit[at]] & language_model.U(255) == (prefix[-1] if prefix else 32)
+    assert np.array_equal(chunk.type, np.cumsum([i == 0 or tokens[i][0] != tokens[i - 1][0] for i in range(len(tokens))]) - 1)
+
+
 @pytest.mark.parametrize("limit", [4, 50, 100_000])
 def test_piece_table_encodes_as_the_library_does(texts, limit, monkeypatch):
     from tokenizers import Tokenizer
